@@ -51,8 +51,13 @@ def usable_email(c: Column) -> Column:
     return F.when(v.rlike(r"^[^@]+@[^@]*[^@.]\.[^@.]+$") & ~is_fake_email(v), v)
 
 
+def kept_email(c: Column) -> Column:
+    """The address as stored if it can be written to as it stands (``@``, a dot after the last one, no stand-in), or NULL."""
+    return F.when(F.substring_index(c, "@", -1).contains(".") & c.contains("@") & ~is_fake_email(_clean_email(c)), c)
+
+
 def is_fake_phone(ten: Column) -> Column:
-    return ten.rlike(r"^(\d)\1{9}$") | ten.isin(*FAKE_PHONES) | ten.rlike(r"^\d{3}5550{2}\d{2}$|^5555555\d{3}$|^\d{3}0000000$")
+    return ten.rlike(r"^(\d)\1{9}$") | ten.isin(*FAKE_PHONES)
 
 
 def usable_phone(c: Column) -> Column:
@@ -178,7 +183,7 @@ def identify(records: DataFrame) -> DataFrame:
     low = best.groupBy("pid_").agg(F.min("rank").alias("rank"))
     best = best.join(low, ["pid_", "rank"]).groupBy("pid_").agg(F.min(F.struct("kg", "kf")).alias("k"), F.max(F.struct("kg", "kf")).alias("k2")).where("k = k2").select("pid_", "k.kg", "k.kf")
     prof = prof.join(best, "pid_", "left").withColumn("g", F.coalesce("kg", F.when(F.col("f").isNotNull(), F.col("g")))).withColumn("f", F.when(F.col("kg").isNotNull(), F.col("kf")).otherwise(F.when(F.col("g").isNotNull(), F.col("f"))))
-    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e", "p"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org"), F.concat(F.lit("?"), F.col("name"))))
+    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.col("p"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org"), F.concat(F.lit("?"), F.col("name"))))
     known = F.col("g").isNotNull() & F.col("f").isNotNull()
     prof = stable(prof.withColumn("key", F.when(known, F.concat_ws("|", "g", "f")).otherwise(lone)).drop("kg", "kf"))
     split = _namesakes(prof)

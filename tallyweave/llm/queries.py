@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .matching import match_entities
 from .names import parsed
-from .people import identify, usable_email, usable_phone
+from .people import identify, kept_email, usable_phone
 from .survivors import survivors
 from .variants import name_variants
 
@@ -47,7 +47,7 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     belief = [F.col("trust"), -micros(F.col("last_signal_at"))]
     return survivors(rows, "entity", "id", {
-        "email": (F.when(usable_email(F.col("email")).isNotNull(), F.col("email")), belief),
+        "email": (kept_email(F.col("email")), belief),
         "phone": (F.when(usable_phone(F.col("phone")).isNotNull(), F.col("phone")), belief),
         "display_name": (name, belief),
         "first_seen_at": (seen, [micros(seen)]),
