@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from ..text.mixture import mixture
+from ..text.passages import held_items
+from ..text.stuffed import stuffed_documents
 from .matching import match_entities
 from .names import parsed
 from .people import identify, kept_email, usable_phone
@@ -72,5 +75,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matches(spark, d).select("table_a", "id_a", "table_b", "id_b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return held_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is taken."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in that mixture."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_documents(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches,
+    "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found,
+}
 ORACLE: dict[str, str] = {}

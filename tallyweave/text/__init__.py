@@ -1,0 +1 @@
+"""Operators over the texts of documents."""

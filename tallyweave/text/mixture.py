@@ -1,0 +1,103 @@
+"""Mixtures of documents by source: target shares of all tokens, bounded repeats."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from fractions import Fraction
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import stable
+
+#: Documents of a bucket; the knapsack is solved over one bucket of each source.
+BUCKET_DOCS = 400
+
+
+def subset_sum(sizes: list[int], most: int) -> list[int]:
+    """Places of the items whose sizes sum up to as much as possible, but no more than ``most``."""
+    reach, steps, mask = 1, [], (1 << (most + 1)) - 1
+    for s in sizes:
+        steps.append(reach)
+        reach |= (reach << s) & mask
+        if reach >> most & 1:
+            break
+    left, picked = reach.bit_length() - 1, []
+    for k in range(len(steps) - 1, -1, -1):
+        if not steps[k] >> left & 1:
+            picked.append(k)
+            left -= sizes[k]
+    return sorted(picked)
+
+
+def usable_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``doc_id, source, tokens`` of each different text of a targeted source, source spelled plainly.
+
+    A text uploaded twice is one document (the smallest doc_id); a text without a token is none.
+    """
+    plain = F.lower(F.trim("source"))
+    wanted = F.broadcast(targets.select(plain.alias("source")).distinct())
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", plain.alias("source"), F.sha2("text", 256).alias("same"), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("tokens"))
+    one = docs.where("tokens > 0").join(wanted, "source").groupBy("same").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d"))
+    return one.select("d.doc_id", "d.source", "d.tokens")
+
+
+def mixture(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(parts, shares)``: how often each document is taken, and what share each source then has.
+
+    ``documents (doc_id, text, source)``; ``targets (source, target_share, max_repeats)``, few rows.
+    ``parts (doc_id, source, tokens, repeats)`` has ``repeats`` from 1 to the source's max_repeats.
+    ``shares (source, target_share, documents, tokens, actual_share)`` has every target.
+
+    The mixture is the largest that keeps the shares: the source that runs out first, all its
+    documents repeated as often as allowed, sets the total. A target without documents gets 0 and
+    the others keep their proportions. Each source then fills its quota of tokens: so many copies
+    of everything, one more of whole hash buckets, and in the bucket where the quota ends a
+    knapsack over its documents, so that a quota is missed by what no choice there can fill.
+    """
+    spark = documents.sparkSession
+    docs = usable_documents(documents, targets).withColumn("h", F.xxhash64("doc_id"))
+    docs = stable(docs)
+    n = docs.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, -(-n // BUCKET_DOCS))
+    docs = docs.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    want: dict[str, tuple[Fraction, int]] = {}
+    for r in targets.collect():
+        if r["source"] is not None and r["target_share"] is not None:
+            want[r["source"].strip().lower()] = (Fraction(str(r["target_share"])), int(r["max_repeats"] or 0))
+    sums: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).collect():
+        sums[r["source"]][r["bucket"]] = r["t"]
+    there = {s: sum(b.values()) for s, b in sums.items() if want[s][0] > 0 and want[s][1] > 0}
+    share = {s: want[s][0] / sum(want[x][0] for x in there) for s in there}
+    total = min((Fraction(there[s] * want[s][1]) / share[s] for s in there), default=Fraction(0))
+    plan, edge, room = [], [], {}
+    for s in sorted(there):
+        quota = int(share[s] * total)
+        base = min(quota // there[s], want[s][1])
+        left, upto = (quota - base * there[s] if base < want[s][1] else 0), 0
+        while upto < buckets and sums[s].get(upto, 0) <= left:
+            left -= sums[s].get(upto, 0)
+            upto += 1
+        plan.append((s, base, upto))
+        if upto < buckets and left > 0:
+            edge.append((s, upto))
+            room[s] = left
+    cut: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    if edge:
+        at = F.broadcast(spark.createDataFrame(edge, "source string, bucket int"))
+        for r in docs.join(at, ["source", "bucket"]).select("source", "doc_id", "tokens").orderBy("source", "doc_id").collect():
+            cut[r["source"]].append((r["doc_id"], r["tokens"]))
+    more = [(rows[k][0],) for s, rows in cut.items() for k in subset_sum([t for _, t in rows], room[s])]
+    extra = F.broadcast(spark.createDataFrame(more, "doc_id bigint").withColumn("extra", F.lit(1)))
+    plans = F.broadcast(spark.createDataFrame(plan, "source string, base int, upto int"))
+    repeats = F.col("base") + F.when(F.col("bucket") < F.col("upto"), 1).otherwise(F.coalesce("extra", F.lit(0)))
+    parts = docs.join(plans, "source").join(extra, "doc_id", "left").select("doc_id", "source", "tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
+    got = parts.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
+    whole = got.agg(F.sum("tokens").alias("whole"))
+    goal = targets.select(F.lower(F.trim("source")).alias("source"), "target_share")
+    shares = goal.join(got, "source", "left").crossJoin(F.broadcast(whole)).select(
+        "source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.coalesce(F.try_divide(F.coalesce("tokens", F.lit(0)).cast("double"), F.col("whole")), F.lit(0.0)).alias("actual_share"),
+    )
+    return parts, shares
