@@ -68,6 +68,25 @@ def usable_phone(c: Column) -> Column:
     return F.when(~is_fake_phone(ten), ten)
 
 
+def local_phone(c: Column) -> Column:
+    """Last seven digits of a phone number of seven digits or more, or NULL; evidence for matching, not a usable value.
+
+    A number noted without its area code agrees in these with the full one.
+    """
+    main = F.regexp_replace(F.lower(c), r"\s*(x|ext\.?|extension|#)\s*\d+\s*$", "")
+    digits = F.regexp_replace(main, r"[^0-9]", "")
+    seven = F.right(digits, F.lit(7))
+    fake = seven.rlike(r"^(\d)\1{6}$") | seven.isin("1234567", *[x[-7:] for x in FAKE_PHONES]) | is_fake_phone(F.right(digits, F.lit(10)))
+    return F.when((F.length(digits) >= 7) & ~fake, seven)
+
+
+def own_contact(email: Column, phone: Column) -> Column:
+    """Whether there is an e-mail or phone, however written, that is neither blank nor a stand-in."""
+    e, digits = _clean_email(email), F.regexp_replace(phone, r"[^0-9]", "")
+    fake = is_fake_phone(F.right(digits, F.lit(10))) | digits.rlike(r"^(\d)\1*$") | (digits == "1234567")
+    return F.coalesce((e != "") & e.contains("@") & ~is_fake_email(e), F.lit(False)) | F.coalesce((F.length(digits) >= 7) & ~fake, F.lit(False))
+
+
 def _named(records: DataFrame) -> DataFrame:
     """``name, kind, given, family`` of each distinct name string, spelled the usual way."""
     names = records.where(F.col("name").isNotNull()).select("name").distinct().repartition("name")
@@ -110,7 +129,7 @@ def identify(records: DataFrame) -> DataFrame:
     named = _named(base)
     prof = (
         base.groupBy("name", "email", "phone", "pid").agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("e", usable_email(F.col("email"))).withColumn("p", usable_phone(F.col("phone"))).withColumn("d", plain_id(F.col("pid")))
+        .withColumn("e", usable_email(F.col("email"))).withColumn("p", usable_phone(F.col("phone"))).withColumn("s", local_phone(F.col("phone"))).withColumn("d", plain_id(F.col("pid")))
         .withColumn("box", F.when(~is_fake_email(_clean_email(F.col("email"))), F.substring_index(_clean_email(F.col("email")), "@", 1)))
         .withColumn("host", F.when(F.col("e").isNotNull(), F.substring_index("e", "@", -1)))
         .join(named, "name", "left")
@@ -122,11 +141,11 @@ def identify(records: DataFrame) -> DataFrame:
     )
     who = F.col("kind").isin("person", "org")
     prof = stable(prof.select(
-        "pid_", "name", "email", "phone", "pid", "rows", "e", "p", "d", "box", F.coalesce("chost", "host").alias("host"), "kind",
+        "pid_", "name", "email", "phone", "pid", "rows", "e", "p", "s", "d", "box", F.coalesce("chost", "host").alias("host"), "kind",
         F.when(who & (F.length("g") > 1), F.col("g")).alias("g"), F.when(who & (F.length("f") > 1), F.col("f")).alias("f"),
         F.when(who, F.left("g", F.lit(1))).alias("gi"), F.when(who, F.left("f", F.lit(1))).alias("fi"),
     ))
-    contacts = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ":"), F.col(c))) for c in ("e", "p", "d")])))
+    contacts = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ":"), F.col(c))) for c in ("e", "p", "s", "d")])))
     full = prof.where(F.col("g").isNotNull() & F.col("f").isNotNull())
 
     # Names two edits apart on one contact: the rarer spelling yields to the more usual one.
@@ -183,16 +202,16 @@ def identify(records: DataFrame) -> DataFrame:
     low = best.groupBy("pid_").agg(F.min("rank").alias("rank"))
     best = best.join(low, ["pid_", "rank"]).groupBy("pid_").agg(F.min(F.struct("kg", "kf")).alias("k"), F.max(F.struct("kg", "kf")).alias("k2")).where("k = k2").select("pid_", "k.kg", "k.kf")
     prof = prof.join(best, "pid_", "left").withColumn("g", F.coalesce("kg", F.when(F.col("f").isNotNull(), F.col("g")))).withColumn("f", F.when(F.col("kg").isNotNull(), F.col("kf")).otherwise(F.when(F.col("g").isNotNull(), F.col("f"))))
-    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.col("p"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org"), F.concat(F.lit("?"), F.col("name"))))
+    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.coalesce("p", "s"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org"), F.concat(F.lit("?"), F.col("name"))))
     known = F.col("g").isNotNull() & F.col("f").isNotNull()
     prof = stable(prof.withColumn("key", F.when(known, F.concat_ws("|", "g", "f")).otherwise(lone)).drop("kg", "kf"))
     split = _namesakes(prof)
-    keyed = prof.join(split, "pid_", "left").select("name", "email", "phone", "pid", F.when(known, F.col("g")).alias("given"), F.when(known, F.col("f")).alias("family"), "key", "entity", "e", "p", "d", "kind")
+    keyed = prof.join(split, "pid_", "left").select("name", "email", "phone", "pid", F.when(known, F.col("g")).alias("given"), F.when(known, F.col("f")).alias("family"), "key", "entity", "e", "p", "s", "d", "kind")
     same = F.lit(True)
-    r = records.drop("given", "family", "key", "entity", "e", "p", "d", "kind")
+    r = records.drop("given", "family", "key", "entity", "e", "p", "s", "d", "kind")
     for c in ("name", "email", "phone", "pid"):
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
-    return r.alias("r").join(keyed.alias("k"), same).select("r.*", *[f"k.{c}" for c in ("given", "family", "key", "entity", "e", "p", "d", "kind")])
+    return r.alias("r").join(keyed.alias("k"), same).select("r.*", *[f"k.{c}" for c in ("given", "family", "key", "entity", "e", "p", "s", "d", "kind")])
 
 
 def _namesakes(prof: DataFrame) -> DataFrame:
@@ -206,12 +225,12 @@ def _namesakes(prof: DataFrame) -> DataFrame:
     own = F.col("e").isNotNull() & F.col("g").isNotNull() & F.col("f").isNotNull() & _own_box(F.col("box"), F.col("g"), F.col("f"))
     order = F.when(F.col("box").startswith(F.left("f", F.lit(4))), "f").otherwise("g")
     sig = F.when(own, F.concat_ws("/", order, F.regexp_replace("box", "[^._-]", ""), F.when(digits != "", digits).otherwise(F.col("host"))))
-    base = prof.where(F.col("key").isNotNull()).select("pid_", "key", "e", "p", "d", sig.alias("sig"))
+    base = prof.where(F.col("key").isNotNull()).select("pid_", "key", "e", "p", "s", "d", sig.alias("sig"))
     count = base.groupBy("key").agg(F.count_distinct("d").alias("nd"), F.count_distinct("sig").alias("ns"))
     many = base.join(count.where("nd > 1 or ns > 1"), "key", "left_semi")
     node = F.explode(F.array_compact(F.array(
         F.when(F.col("sig").isNotNull(), F.concat(F.lit("s:"), F.col("sig"))), F.when(F.col("sig").isNull(), F.concat(F.lit("e:"), F.col("e"))),
-        F.concat(F.lit("p:"), F.col("p")), F.concat(F.lit("d:"), F.col("d")),
+        F.concat(F.lit("p:"), F.col("p")), F.concat(F.lit("l:"), F.col("s")), F.concat(F.lit("d:"), F.col("d")),
     )))
     links = stable(many.select("pid_", "key", node.alias("node")))
     label = stable(links.select("pid_", F.col("pid_").alias("label")).distinct())
