@@ -47,8 +47,9 @@ def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFr
 
     * ``refs (ref_table, record_id, target, key, ref_at)`` are new references; each probes the
       parent index. Those with a NULL key are no references and are left out; a record given
-      twice counts once, with its earliest ``ref_at``.
-    * ``arrived`` parents resolve waiting orphans of their key.
+      twice, in one increment or in two, counts once, with its earliest ``ref_at``.
+    * ``arrived`` parents resolve waiting orphans of their key; an earlier version of a known
+      parent changes what its references are.
     * ``gone`` parents reopen the references of their key.
 
     Only references that are new, waiting, or of a touched key are probed again: the rest pass
@@ -60,17 +61,17 @@ def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFr
         refs.where(F.col("key").isNotNull() & F.col("record_id").isNotNull())
         .groupBy("ref_table", "record_id", "target", "key")
         .agg(F.min("ref_at").alias("ref_at"))
-        .withColumns({"parent_at": F.lit(None).cast("timestamp_ntz"), "known": F.lit(False), "status": F.lit("open")})
     )
-    touched = state.where(F.col("status") == "open")
-    rest = state.where(F.col("status") != "open")
-    if gone is not None:
-        keys = gone.select("target", "key").distinct()
-        touched = touched.unionByName(rest.join(keys, ["target", "key"], "left_semi"))
-        rest = rest.join(keys, ["target", "key"], "left_anti")
+    ref = ["ref_table", "record_id", "target", "key"]
     cols = [f.name for f in empty_cols()]
+    keys = arrived.select("target", "key")
+    if gone is not None:
+        keys = keys.unionByName(gone.select("target", "key"))
+    marked = state.select(*cols).join(keys.distinct().withColumn("moved", F.lit(True)), ["target", "key"], "left").join(new.select(*ref).withColumn("again", F.lit(True)), ref, "left")
+    hit = (F.col("status") == "open") | F.col("moved").isNotNull() | F.col("again").isNotNull()
+    touched, rest = marked.where(hit), marked.where(~hit)
     probed = (
-        new.select(*cols).unionByName(touched.select(*cols)).drop("parent_at", "known", "status")
+        new.select(*ref, "ref_at").unionByName(touched.select(*ref, "ref_at")).groupBy(*ref).agg(F.min("ref_at").alias("ref_at"))
         .join(idx.withColumn("known", F.lit(True)), ["target", "key"], "left")
         .withColumn("known", F.coalesce(F.col("known"), F.lit(False)))
         .withColumn("status", _status(F.col("known"), F.col("since"), F.col("ref_at")))
