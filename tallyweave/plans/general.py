@@ -33,6 +33,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pick(ads, "ad").unionByName(pick(givers, "giver"))
 
 
+def _days(df: DataFrame) -> DataFrame:
+    money = [F.col(c).cast("decimal(18,2)").alias(c) for c in ("total", "total_7", "total_30")]
+    return df.select("entity", "day", "n", *money, "avg_7", "avg_30")
+
+
+def p1_giver_days(spark: SparkSession, d: str) -> DataFrame:
+    """Every day of each giver with totals and averages of both periods."""
+    return _days(giver_days(spark, d))
+
+
+def p1_ad_days(spark: SparkSession, d: str) -> DataFrame:
+    """Every day of each ad with totals and averages of both periods."""
+    return _days(ad_days(spark, d))
+
+
 def _rolled(df: DataFrame) -> DataFrame:
     """Per entity: days covered, days with activity, peaks of the trailing periods."""
     return df.groupBy("entity").agg(
@@ -82,7 +97,7 @@ def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return snapshots(reference_state(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_giver_rollup": p1_giver_rollup, "p1_ad_rollup": p1_ad_rollup, "p5_found": p5_found, "p5_snapshots": p5_snapshots}
+QUERIES = {"p1_found": p1_found, "p1_giver_days": p1_giver_days, "p1_ad_days": p1_ad_days, "p1_giver_rollup": p1_giver_rollup, "p1_ad_rollup": p1_ad_rollup, "p5_found": p5_found, "p5_snapshots": p5_snapshots}
 
 _PLAIN = r"nullif(regexp_replace(regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '^(\d+)\.0+$', '\1'), '^0+(\d+)$', '\1'), '')"
 
@@ -102,6 +117,8 @@ rolled as (select *, sum(total) over (partition by entity order by "day" rows be
  sum(total) over (partition by entity order by "day" rows between 29 preceding and current row) total_30 from dense)"""
 _ROLL = """ select entity, count(*) "days", count(*) filter (where n>0) active_days, cast(sum(total) as decimal(18,2)) grand_total, cast(max(total_7) as decimal(18,2)) peak_7,
  cast(max(total_30) as decimal(18,2)) peak_30, cast(round(cast(sum(total_30) as decimal(28,6))/30, 2) as double) sum_avg_30 from rolled group by entity"""
+_DAYS = """ select entity, "day", n, cast(total as decimal(18,2)) total, cast(total_7 as decimal(18,2)) total_7, cast(total_30 as decimal(18,2)) total_30,
+ cast(total_7 as double)/7 avg_7, cast(total_30 as double)/30 avg_30 from rolled"""
 _STATE = f"""with refs as (
  select 'giving_gifts' ref_table, gift_id record_id, 'pco_people' target, {plain_sql('pco_person_id')} k, received_at ref_t from giving_gifts
  union all select 'pco_group_memberships', membership_id, 'pco_people', {plain_sql('pco_person_id')}, joined_at from pco_group_memberships
@@ -114,6 +131,8 @@ state as (select o.*, p.since, case when p.k is null then 'absent' when p.since
 ORACLE = {
     "p1_found": "with a as (with " + _AD + _DENSE + " select 'ad' kind, entity entity_id, strftime(\"day\",'%Y-%m-%d') day_text from rolled where total_7=0 and total_30>0), g as (with " + _GIVER + _DENSE
     + " select 'giver' kind, entity entity_id, strftime(\"day\",'%Y-%m-%d') day_text from rolled where n>0 and total_30-total_7>0 and total_30-total_7<total_7) select * from a union all select * from g",
+    "p1_giver_days": "with " + _GIVER + _DENSE + _DAYS,
+    "p1_ad_days": "with " + _AD + _DENSE + _DAYS,
     "p1_giver_rollup": "with " + _GIVER + _DENSE + _ROLL,
     "p1_ad_rollup": "with " + _AD + _DENSE + _ROLL,
     "p5_found": _STATE + " select distinct ref_table, record_id, problem from state where problem<>'ok'",
