@@ -1,16 +1,17 @@
 """Who a record was written for: one key per person or organisation over noisy names and contacts.
 
-``identify`` takes records ``rec, name, email, phone, pid`` and gives each the columns
+``identify`` takes records ``name, email, phone, pid`` and gives each the columns
 
 * ``given, family``   canonical name key (NULL where nothing tells),
 * ``key``             the name key, or one built on a contact for nameless records,
-* ``entity``          the person: the key, divided where several people share the name.
-
-A name key comes from the name itself (typos mended by the trie join), else from other records
-with the same contact and a name that agrees with what is written, else from the mailbox name, else
-from the only full name an initial can stand for. People of one household share contacts but not
-name keys, so contacts never join two different names; within one name key contacts, person ids and
-mailbox patterns tell namesakes apart.
+* ``entity``          the person: the key, divided where several people share the name,
+* ``e, p, s, d, pattern``  e-mail, phone, local number and person id in plain form, and how the mailbox spells the name.
+
+A name key comes from the name itself (spellings linked by the trie join and checked per pair of
+names, in either order of the words), else from other records with the same contact and a name that
+agrees with what is written, else from the mailbox name, else from the only full name an initial can
+stand for. People of one household share contacts but not name keys, so contacts never join two
+different names; within one name key contacts, person ids and mailbox patterns tell namesakes apart.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import plain_id
 from ..runtime import stable
 from .names import parsed
-from .spelling import canonical_spelling
+from .spelling import ranked_neighbours, usual_spelling
+
+#: A spelling yields to one written so many times as often, where another part of the name agrees, and where nothing else does.
+RATIO, RATIO_ALONE = 3, 10
 
 # Mailboxes and numbers typed to get past a form.
 FAKE_BOXES = "test|guest|none|na|noemail|no|nomail|null|unknown|anonymous|user|email|example|fake|asdf|abc|xxx|nobody|someone|donotreply|noreply|nowhere"
@@ -87,25 +91,56 @@ def own_contact(email: Column, phone: Column) -> Column:
     return F.coalesce((e != "") & e.contains("@") & ~is_fake_email(e), F.lit(False)) | F.coalesce((F.length(digits) >= 7) & ~fake, F.lit(False))
 
 
-def _named(records: DataFrame) -> DataFrame:
-    """``name, kind, given, family`` of each distinct name string, spelled the usual way."""
-    names = records.where(F.col("name").isNotNull()).select("name").distinct().repartition("name")
-    p = stable(names.withColumn("p", parsed("name")).select("name", "p.*"))
-    people = p.where((F.col("kind") == "person") & F.col("f1").isNotNull() & (F.length("g1") > 1) & (F.length("f1") > 1))
-    seen = people.groupBy(F.col("g1").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    turned = (
-        p.join(seen.select(F.col("g").alias("g1"), F.col("n").alias("n1")), "g1", "left")
-        .join(seen.select(F.col("g").alias("g2"), F.col("n").alias("n2")), "g2", "left")
-        .withColumn("turn", (F.col("kind") == "person") & (F.length("g1") > 1) & F.col("f2").isNotNull() & (F.coalesce("n2", F.lit(0)) >= 10 * F.coalesce("n1", F.lit(1))))
-        .select("name", "kind", F.when(F.col("turn"), F.col("g2")).otherwise(F.col("g1")).alias("g"), F.when(F.col("turn"), F.col("f2")).otherwise(F.col("f1")).alias("f"))
+PROFILE = ("name", "email", "phone", "pid")
+
+
+def _profile_id(scope: Column) -> Column:
+    """128 bits of the values that make a profile; NULL differs from any text."""
+    return F.md5(F.to_json(F.struct(scope.alias("scope"), *PROFILE)))
+
+
+def _turned(p: DataFrame, given: DataFrame) -> DataFrame:
+    """``name, kind, g, f``: of the two orders of a name's words the one that other names bear out.
+
+    The order as written stays unless the turned one reads a given name that is more usual and makes
+    a name that is written elsewhere, or is ``RATIO_ALONE`` times as usual.
+    """
+    as_given = lambda c, to, n: given.select(F.col("word").alias(c), F.col("canon").alias(to), F.col("n").alias(n))
+    # One letter, and the trade words of an organisation ("#..."), are no words of the trie.
+    plain = lambda c, to: F.when((F.length(c) == 1) | F.col(c).startswith("#"), F.col(c)).otherwise(F.col(to))
+    t = p.join(as_given("g1", "c1", "n1"), "g1", "left").join(as_given("g2", "c2", "n2"), "g2", "left").withColumns({"c1": plain("g1", "c1"), "c2": plain("g2", "c2")})
+    known = t.where((F.length("c1") > 1) & (F.length("f1") > 1)).groupBy(F.col("c1").alias("c2"), F.col("f1").alias("f2")).agg(F.lit(True).alias("borne"))
+    n1, n2 = F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0))
+    turn = (F.col("kind") == "person") & (F.length("g1") > 1) & F.col("f2").isNotNull() & ((F.col("borne").isNotNull() & (n2 > n1)) | (n2 >= RATIO_ALONE * F.greatest(n1, F.lit(1))))
+    turn = F.coalesce(turn, F.lit(False))
+    return t.join(known, ["c2", "f2"], "left").select("name", "kind", F.when(turn, F.col("c2")).otherwise(F.col("c1")).alias("g"), F.when(turn, F.col("f2")).otherwise(F.col("f1")).alias("f"))
+
+
+def _mend_pairs(names: DataFrame, near: DataFrame) -> DataFrame:
+    """``g, f, tg, tf``: names one edit in one word away from a name with a more usual spelling of it.
+
+    Candidates come from the trie; each is checked: the name with that word and the same other word
+    (or its initial) must be written too, and the word must be ``RATIO`` times as usual, unless the
+    one that yields is borne by nobody else. Each step goes up in usage, so chains end; they are
+    followed by doubling.
+    """
+    pairs = names.where(F.col("g").isNotNull() & (F.length("f") > 1)).select("g", "f").distinct()
+    there = pairs.unionByName(pairs.select(F.left("g", F.lit(1)).alias("g"), "f")).distinct()
+    near = near.where((F.col("a") != F.col("b")) & (F.struct("nb", "b") > F.struct("na", "a")))
+    alone = lambda c, o, tag: pairs.where((F.length("g") > 1)).groupBy(c).agg(F.min(o).alias("lo"), F.max(o).alias("hi")).select(F.lit(tag).alias("tag"), F.col(c).alias("a"), (F.col("lo") == F.col("hi")).alias("alone"))
+    near = near.join(alone("f", "g", "f").unionByName(alone("g", "f", "g")), ["tag", "a"], "left").where((F.col("nb") >= RATIO * F.greatest("na", F.lit(1))) | F.coalesce("alone", F.lit(True)))
+    by = lambda tag, c, to: near.where(F.col("tag") == tag).select(F.col("a").alias(c), F.col("b").alias(to), "nb")
+    cand = pairs.join(by("f", "f", "tf"), "f").select("g", "f", F.col("g").alias("tg"), "tf", "nb").unionByName(
+        pairs.where(F.length("g") > 1).join(by("g", "g", "tg"), "g").select("g", "f", "tg", F.col("f").alias("tf"), "nb")
     )
-    turned = stable(turned)
-    full = lambda c: turned.where(F.length(c) > 1).groupBy(F.col(c).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    given = canonical_spelling(full("g").where(~F.col("word").startswith("#")), ratio=10, rare=0)
-    family = canonical_spelling(full("f").where(F.length("word") > 4), ratio=3, rare=3)
-    return turned.join(given.select(F.col("word").alias("g"), F.col("canon").alias("cg")), "g", "left").join(
-        family.select(F.col("word").alias("f"), F.col("canon").alias("cf")), "f", "left"
-    ).select("name", "kind", F.coalesce("cg", "g").alias("g"), F.coalesce("cf", "f").alias("f"))
+    good = cand.join(there.select(F.col("g").alias("tg"), F.col("f").alias("tf")), ["tg", "tf"], "left_semi")
+    step = stable(good.groupBy("g", "f").agg(F.max_by(F.struct("tg", "tf"), F.struct("nb", "tg", "tf")).alias("t")).select("g", "f", "t.tg", "t.tf"))
+    while True:
+        ahead = step.select(F.col("g").alias("tg"), F.col("f").alias("tf"), F.col("tg").alias("ug"), F.col("tf").alias("uf"))
+        step = stable(step.join(ahead, ["tg", "tf"], "left").select("g", "f", F.coalesce("ug", "tg").alias("tg"), F.coalesce("uf", "tf").alias("tf"), F.col("ug").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.drop("moved")
+        step = step.drop("moved")
 
 
 def _own_box(box: Column, g: Column, f: Column) -> Column:
@@ -114,137 +149,152 @@ def _own_box(box: Column, g: Column, f: Column) -> Column:
     return letters.contains(F.left(f, F.lit(4))) & (letters.contains(g) | (F.left(letters, F.lit(1)) == F.left(g, F.lit(1))) | g.startswith("#"))
 
 
-def _only(df: DataFrame, by: list[str], value: str, alias: str) -> DataFrame:
-    """Of each group the one value it has; groups with several are left out."""
-    return df.groupBy(*by).agg(F.min(value).alias(alias), F.max(value).alias("__max")).where(F.col(alias) == F.col("__max")).drop("__max")
+def _pattern(g: Column, f: Column) -> Column:
+    """How a mailbox spells its owner's name: order of the words, marks between them, number or host; NULL if it doesn't."""
+    digits = F.regexp_extract("box", r"(\d+)$", 1)
+    own = F.col("e").isNotNull() & g.isNotNull() & f.isNotNull() & _own_box(F.col("box"), g, f)
+    order = F.when(F.col("box").startswith(F.left(f, F.lit(4))), "f").otherwise("g")
+    return F.when(own, F.concat_ws("/", order, F.regexp_replace("box", "[^._-]", ""), F.when(digits != "", digits).otherwise(F.col("host"))))
+
+
+def _contacts() -> Column:
+    return F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ":"), F.col(c))) for c in ("e", "p", "s", "d")])))
+
+
+def _mend_on_contact(prof: DataFrame) -> DataFrame:
+    """``g, f, tg, tf``: full names of one contact that share one word and are two edits apart in the other.
 
+    The rarer spelling yields. A given name yields only if it is rare beside the other one anywhere
+    (``RATIO``): two usual given names on one contact are two people of a household.
+    """
+    full = prof.where((F.length("g") > 1) & (F.length("f") > 1))
+    usual = full.groupBy("g", "f").agg(F.sum("rows").alias("total"), F.count_distinct("name").alias("names"))
+    given = full.groupBy("g").agg(F.count_distinct("name").alias("ng"))
+    held = full.select("g", "f", _contacts().alias("c")).distinct().join(usual, ["g", "f"]).join(given, "g")
+    side = F.explode(F.array(*[F.struct(F.lit(x).alias("by"), F.col(x).alias("same"), F.col(o).alias("other")) for x, o in (("g", "f"), ("f", "g"))]))
+    held = stable(held.select("c", "g", "f", "names", "total", "ng", side.alias("s")).select("c", "g", "f", "names", "total", "ng", "s.*"))
+    top = held.groupBy("c", "by", "same").agg(F.max(F.struct("names", "total", "g", "f", "ng")).alias("w"), F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    to = F.when(F.col("by") == "g", F.col("w.f")).otherwise(F.col("w.g"))
+    rare = (F.col("by") == "g") | (F.col("w.ng") >= RATIO * F.col("ng"))
+    near = held.join(top, ["c", "by", "same"]).where((F.col("other") != to) & (F.length("other") > 3) & (F.levenshtein(F.col("other"), to, 2) >= 0) & rare)
+    return near.groupBy("g", "f").agg(F.max("w").alias("t")).select("g", "f", F.col("t.g").alias("tg"), F.col("t.f").alias("tf"))
+
+
+def _told(prof: DataFrame) -> DataFrame:
+    """``pid_, kg, kf``: the full name a profile with part of a name, or none, stands for.
+
+    Every kind of evidence is a string that full names put into one index; a string that stands for
+    two names tells nothing. Ranks: 1 a contact and what is written of the name, 2 the mailbox,
+    3 a contact alone, 4 the only full name an initial can stand for.
+    """
+    k = F.struct("g", "f")
+    full = prof.where((F.length("g") > 1) & (F.length("f") > 1))
+    say = lambda tag, *x: F.concat_ws("\x1f", F.lit(tag), *x)
+    on = full.select("g", "f", _contacts().alias("c")).distinct().withColumns({"gi": F.left("g", F.lit(1)), "fi": F.left("f", F.lit(1))})
+    keys = full.select("g", "f").distinct().withColumns({"gi": F.left("g", F.lit(1)), "f6": F.left("f", F.lit(6))})
+    index = (
+        on.select(k.alias("k"), F.explode(F.array(say("ci", "c", "f", "gi"), say("cs", "c", "g", "fi"), say("ca", "c", "g"), say("cn", "c"))).alias("ev"))
+        .unionByName(keys.select(k.alias("k"), F.explode(F.array(say("b6", "g", "f6"), say("bi", "gi", "f"))).alias("ev")))
+        .groupBy("ev").agg(F.min("k").alias("k"), F.max("k").alias("k2")).where("k = k2").select("ev", "k")
+    )
+    part = prof.where(~((F.length("g") > 1) & (F.length("f") > 1)) | F.col("g").isNull() | F.col("f").isNull())
+    part = part.withColumns({"gi": F.left("g", F.lit(1)), "fi": F.left("f", F.lit(1)), "g": F.when(F.length("g") > 1, F.col("g")), "f": F.when(F.length("f") > 1, F.col("f"))})
+    words = F.filter(F.split(F.regexp_replace("box", r"[0-9]+", ""), r"[._\-]"), lambda w: F.length(w) >= 3)
+    one, two = F.size("w") == 1, F.size("w") == 2
+    w0, w1 = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    has_f, nameless = F.col("f").isNotNull(), F.col("gi").isNull() & F.col("fi").isNull()
+    ev = lambda rank, cond, *x: F.when(cond, F.struct(F.lit(rank).alias("rank"), F.concat_ws("\x1f", *x).alias("ev")))
+    six = lambda c: F.left(c, F.lit(6))
+    by_contact = part.select("pid_", "g", "f", "gi", "fi", _contacts().alias("c")).select("pid_", "g", "f", "gi", "fi", F.explode(F.array_compact(F.array(
+        ev(1, has_f & F.col("gi").isNotNull(), F.lit("ci"), "c", "f", "gi"), ev(1, F.col("g").isNotNull() & ~has_f & F.col("fi").isNotNull(), F.lit("cs"), "c", "g", "fi"),
+        ev(1, F.col("g").isNotNull() & F.col("fi").isNull(), F.lit("ca"), "c", "g"), ev(3, nameless, F.lit("cn"), "c"),
+    ))).alias("x"))
+    by_name = part.withColumn("w", words).select("pid_", "g", "f", "gi", "fi", F.explode(F.array_compact(F.array(
+        ev(2, two, F.lit("b6"), w0, six(w1)), ev(2, two, F.lit("b6"), w1, six(w0)), ev(2, one & (F.length(w0) > 4), F.lit("bi"), F.left(w0, F.lit(1)), F.expr("substring(w[0], 2)")),
+        ev(4, has_f & F.col("gi").isNotNull(), F.lit("bi"), "gi", "f"),
+    ))).alias("x"))
+    agrees = (F.col("g").isNull() | (F.col("g") == F.col("k.g"))) & (F.col("f").isNull() | (F.col("f") == F.col("k.f"))) & (F.col("gi").isNull() | (F.col("gi") == F.left("k.g", F.lit(1)))) & (F.col("fi").isNull() | (F.col("fi") == F.left("k.f", F.lit(1))))
+    best = by_contact.unionByName(by_name).select("pid_", "g", "f", "gi", "fi", "x.rank", "x.ev").join(index, "ev").where(agrees).groupBy("pid_", "rank").agg(F.min("k").alias("k"), F.max("k").alias("k2"))
+    first = best.groupBy("pid_").agg(F.min_by(F.struct("k", "k2"), "rank").alias("t"))
+    return first.where("t.k = t.k2").select("pid_", F.col("t.k.g").alias("kg"), F.col("t.k.f").alias("kf"))
 
-def identify(records: DataFrame) -> DataFrame:
+
+def identify(records: DataFrame, within: str | None = None) -> DataFrame:
     """See the module. ``records`` keeps its columns; clashing names of the result are replaced.
 
-    NULLs in any column, repeated rows and empty tables are allowed; ``rec`` must name a row.
-    A record with neither name nor contact nor person id gets ``entity`` NULL.
+    ``within`` names a column (a table, say): spellings and evidence are read over all records, but
+    entities are then formed in each of its values alone and shared by none.
+    NULLs in any column, repeated rows and empty tables are allowed. A record with neither name nor
+    contact nor person id gets ``entity`` NULL.
     """
-    base = records.select("rec", "name", "email", "phone", "pid")
-    named = _named(base)
+    scope = F.col(within) if within else F.lit("")
+    base = records.select(*PROFILE, scope.alias("scope"))
+    names = base.where(F.col("name").isNotNull()).select("name").distinct()
+    p = stable(names.repartition("name").withColumn("p", parsed("name")).select("name", "p.*"))
+    fake = is_fake_email(_clean_email(F.col("email")))
     prof = (
-        base.groupBy("name", "email", "phone", "pid").agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("e", usable_email(F.col("email"))).withColumn("p", usable_phone(F.col("phone"))).withColumn("s", local_phone(F.col("phone"))).withColumn("d", plain_id(F.col("pid")))
-        .withColumn("box", F.when(~is_fake_email(_clean_email(F.col("email"))), F.substring_index(_clean_email(F.col("email")), "@", 1)))
-        .withColumn("host", F.when(F.col("e").isNotNull(), F.substring_index("e", "@", -1)))
-        .join(named, "name", "left")
-        .withColumn("pid_", F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~")) for c in ("name", "email", "phone", "pid")]))
+        base.groupBy(*PROFILE, "scope").agg(F.count(F.lit(1)).alias("rows"))
+        .withColumns({"e": usable_email(F.col("email")), "p": usable_phone(F.col("phone")), "s": local_phone(F.col("phone")), "d": plain_id(F.col("pid")), "pid_": _profile_id(F.col("scope"))})
+        .withColumns({"box": F.when(~fake, F.substring_index(_clean_email(F.col("email")), "@", 1)), "host": F.when(F.col("e").isNotNull(), F.substring_index("e", "@", -1))})
     )
-    hosts = canonical_spelling(prof.where(F.col("host").isNotNull()).groupBy(F.col("host").alias("word")).agg(F.count(F.lit(1)).alias("n")), ratio=10, rare=0)
-    prof = prof.join(hosts.select(F.col("word").alias("host"), F.col("canon").alias("chost")), "host", "left").withColumn(
-        "e", F.when(F.col("e").isNotNull(), F.concat(F.col("box"), F.lit("@"), F.coalesce("chost", "host")))
+    prof = stable(prof)
+    word = lambda c, tag, n: p.where(F.col("kind").isin("person", "org") & F.col(c).isNotNull() & (F.length(c) > 1) & ~F.col(c).startswith("#")).select(F.lit(tag).alias("tag"), F.col(c).alias("word"), F.lit(n).alias("n"))
+    vocab = word("g1", "g", 1).unionByName(word("g2", "g", 0)).unionByName(word("f1", "f", 1)).unionByName(word("f2", "f", 0)).unionByName(
+        prof.where(F.col("host").isNotNull()).select(F.lit("h").alias("tag"), F.col("host").alias("word"), F.lit(1).alias("n"))
     )
+    near = stable(ranked_neighbours(vocab))
+    usual = usual_spelling(near.where(F.col("tag") != "f"), RATIO_ALONE)
+    # Families come through the trie, too: a word it doesn't hand on makes no name.
+    read = stable(_turned(p, usual.where("tag = 'g'")).join(near.where("tag = 'f' AND a = b").select(F.col("a").alias("f"), F.lit(True).alias("seen")), "f", "left"))
+    read = read.withColumn("f", F.when((F.length("f") == 1) | F.col("seen"), F.col("f"))).drop("seen")
+    mend = _mend_pairs(read, near)
+    named = read.join(mend, ["g", "f"], "left").select("name", "kind", F.coalesce("tg", "g").alias("g"), F.coalesce("tf", "f").alias("f"))
+    hosts = usual.where("tag = 'h'").select(F.col("word").alias("host"), F.col("canon").alias("chost"))
     who = F.col("kind").isin("person", "org")
-    prof = stable(prof.select(
-        "pid_", "name", "email", "phone", "pid", "rows", "e", "p", "s", "d", "box", F.coalesce("chost", "host").alias("host"), "kind",
-        F.when(who & (F.length("g") > 1), F.col("g")).alias("g"), F.when(who & (F.length("f") > 1), F.col("f")).alias("f"),
-        F.when(who, F.left("g", F.lit(1))).alias("gi"), F.when(who, F.left("f", F.lit(1))).alias("fi"),
-    ))
-    contacts = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ":"), F.col(c))) for c in ("e", "p", "s", "d")])))
-    full = prof.where(F.col("g").isNotNull() & F.col("f").isNotNull())
-
-    # Names two edits apart on one contact: the rarer spelling yields to the more usual one.
-    held = full.select("g", "f", "box", contacts.alias("c")).groupBy("c", "g", "f").agg(F.count(F.lit(1)).alias("n"))
-    usual = full.groupBy("g", "f").agg(F.sum("rows").alias("total"), F.count_distinct("name").alias("names"))
-    held = stable(held.join(usual, ["g", "f"]))
-    weight = F.struct("names", "total", "g", "f")
-
-    def mended(by: str, other: str) -> DataFrame:
-        top = held.groupBy("c", by).agg(F.max_by(other, weight).alias("to"), F.max(weight).alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        near = F.levenshtein(F.col(other), F.col("to"), 2) >= 0
-        return held.join(top, ["c", by]).where((F.col(other) != F.col("to")) & near & (F.length(other) > 3) & (F.col("names") <= 2)).select(
-            F.col("g"), F.col("f"), *([F.col("g").alias("tg"), F.col("to").alias("tf")] if by == "g" else [F.col("to").alias("tg"), F.col("f").alias("tf")]), F.col("w").alias("tw")
-        )
-
-    mend = mended("g", "f").unionByName(mended("f", "g")).groupBy("g", "f").agg(F.max_by(F.struct("tg", "tf"), "tw").alias("t")).select("g", "f", "t.tg", "t.tf")
-    mend = stable(mend)
-    prof = prof.join(mend, ["g", "f"], "left").withColumn("g", F.coalesce("tg", "g")).withColumn("f", F.coalesce("tf", "f")).drop("tg", "tf")
+    prof = prof.join(named, "name", "left").join(hosts, "host", "left").select(
+        "pid_", *PROFILE, "scope", "rows", F.when(F.col("e").isNotNull(), F.concat("box", F.lit("@"), "chost")).alias("e"), "p", "s", "d", "box", F.col("chost").alias("host"), "kind", F.when(who, F.col("g")).alias("g"), F.when(who, F.col("f")).alias("f")
+    )
     prof = stable(prof)
-
-    full = prof.where(F.col("g").isNotNull() & F.col("f").isNotNull())
-    kv = F.struct("g", "f")
-    on = stable(full.select("g", "f", "gi", "fi", contacts.alias("c")).distinct())
-    keys = stable(full.select("g", "f").distinct().withColumn("gi", F.left("g", F.lit(1))).withColumn("f6", F.left("f", F.lit(6))))
-    part = prof.where(F.col("g").isNull() | F.col("f").isNull())
-    rest = part.select("pid_", "g", "f", "gi", "fi", "box", contacts.alias("c"))
-    initial, short, alone = F.col("f").isNotNull(), F.col("f").isNull() & F.col("fi").isNotNull(), F.col("f").isNull() & F.col("g").isNotNull() & F.col("fi").isNull()
-    nameless = F.col("g").isNull() & F.col("f").isNull() & F.col("gi").isNull()
-    pick = lambda df, rank: df.select("pid_", F.lit(rank).alias("rank"), F.col("k.g").alias("kg"), F.col("k.f").alias("kf"))
-    on_k = on.withColumn("k", kv)
-    found = [
-        pick(rest.where(initial).join(_only(on_k, ["c", "f", "gi"], "k", "k"), ["c", "f", "gi"]), 1),
-        pick(rest.where(short).join(_only(on_k, ["c", "g", "fi"], "k", "k"), ["c", "g", "fi"]), 1),
-        pick(rest.where(alone).join(_only(on_k, ["c", "g"], "k", "k"), ["c", "g"]), 1),
-    ]
-    # The mailbox name itself: given.family, family.given, gfamily; long family names may be cut to six letters.
-    words = F.filter(F.split(F.regexp_replace("box", r"[0-9]+", ""), r"[._\-]"), lambda w: F.length(w) >= 3)
-    boxed = part.where(F.col("box").isNotNull()).select("pid_", "g", "f", "gi", "fi", "box", words.alias("w"))
-    agrees = (F.col("g").isNull() | (F.col("g") == F.col("k.g"))) & (F.col("f").isNull() | (F.col("f") == F.col("k.f"))) & (F.col("gi").isNull() | (F.col("gi") == F.left("k.g", F.lit(1)))) & (F.col("fi").isNull() | (F.col("fi") == F.left("k.f", F.lit(1))))
-    by6 = _only(keys.withColumn("k", kv), ["g", "f6"], "k", "k").withColumnsRenamed({"g": "bg", "f6": "b6"})
-    byi = _only(keys.withColumn("k", kv), ["gi", "f"], "k", "k").withColumnsRenamed({"gi": "bi", "f": "bf"})
-    two = boxed.where(F.size("w") == 2)
-    for a, b in ((0, 1), (1, 0)):
-        found.append(pick(two.withColumns({"bg": F.get("w", F.lit(a)), "b6": F.left(F.get("w", F.lit(b)), F.lit(6))}).join(by6, ["bg", "b6"]).where(agrees), 2))
-    one = boxed.where((F.size("w") == 1) & (F.length(F.get("w", F.lit(0))) > 4)).withColumn("x", F.get("w", F.lit(0)))
-    found.append(pick(one.withColumns({"bi": F.left("x", F.lit(1)), "bf": F.expr("substring(x, 2)")}).join(byi, ["bi", "bf"]).where(agrees), 2))
-    # A nameless record: the owner of its mailbox, or the only name seen on a contact.
-    found.append(pick(rest.where(nameless).join(_only(on_k, ["c"], "k", "k"), "c"), 3))
-    # The only full name that an initial and a family name can stand for.
-    found.append(pick(part.where(initial & F.col("gi").isNotNull()).select("pid_", F.col("gi").alias("bi"), F.col("f").alias("bf")).join(byi, ["bi", "bf"]), 4))
-    best = found[0]
-    for x in found[1:]:
-        best = best.unionByName(x)
-    low = best.groupBy("pid_").agg(F.min("rank").alias("rank"))
-    best = best.join(low, ["pid_", "rank"]).groupBy("pid_").agg(F.min(F.struct("kg", "kf")).alias("k"), F.max(F.struct("kg", "kf")).alias("k2")).where("k = k2").select("pid_", "k.kg", "k.kf")
-    prof = prof.join(best, "pid_", "left").withColumn("g", F.coalesce("kg", F.when(F.col("f").isNotNull(), F.col("g")))).withColumn("f", F.when(F.col("kg").isNotNull(), F.col("kf")).otherwise(F.when(F.col("g").isNotNull(), F.col("f"))))
-    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.coalesce("p", "s"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org"), F.concat(F.lit("?"), F.col("name"))))
-    known = F.col("g").isNotNull() & F.col("f").isNotNull()
-    prof = stable(prof.withColumn("key", F.when(known, F.concat_ws("|", "g", "f")).otherwise(lone)).drop("kg", "kf"))
-    split = _namesakes(prof)
-    keyed = prof.join(split, "pid_", "left").select("name", "email", "phone", "pid", F.when(known, F.col("g")).alias("given"), F.when(known, F.col("f")).alias("family"), "key", "entity", "e", "p", "s", "d", "kind")
-    same = F.lit(True)
-    r = records.drop("given", "family", "key", "entity", "e", "p", "s", "d", "kind")
-    for c in ("name", "email", "phone", "pid"):
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
-    return r.alias("r").join(keyed.alias("k"), same).select("r.*", *[f"k.{c}" for c in ("given", "family", "key", "entity", "e", "p", "s", "d", "kind")])
+    prof = stable(prof.join(_mend_on_contact(prof), ["g", "f"], "left").withColumns({"g": F.coalesce("tg", "g"), "f": F.coalesce("tf", "f")}).drop("tg", "tf"))
+    prof = prof.join(_told(prof), "pid_", "left").withColumns({"gi": F.left("g", F.lit(1)), "fi": F.left("f", F.lit(1))})
+    known = F.col("kg").isNotNull() | ((F.length("g") > 1) & (F.length("f") > 1))
+    prof = prof.withColumns({"given": F.when(known, F.coalesce("kg", "g")), "family": F.when(known, F.coalesce("kf", "f"))})
+    lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.coalesce("p", "s"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org") & F.col("g").isNotNull(), F.concat(F.lit("?"), F.col("name"))))
+    prof = stable(prof.withColumn("key", F.when(known, F.concat_ws("|", "given", "family")).otherwise(lone)).select("pid_", "scope", "given", "family", "key", "e", "p", "s", "d", _pattern(F.col("given"), F.col("family")).alias("pattern"), "kind"))
+    out = ("given", "family", "key", "entity", "e", "p", "s", "d", "pattern", "kind")
+    keyed = prof.join(_namesakes(prof), "pid_", "left").select("pid_", *out)
+    return records.drop(*out).withColumn("pid_", _profile_id(scope)).join(keyed, "pid_").drop("pid_")
 
 
 def _namesakes(prof: DataFrame) -> DataFrame:
-    """``pid_, entity``: profiles of one key, divided where its records are of several people.
+    """``pid_, entity``: profiles of one key (and scope), divided where its records are of several people.
 
-    Profiles that share a contact, a person id or a mailbox pattern are joined (smallest label
-    over shared evidence, repeated until nothing changes). A key stays whole unless it shows two
-    person ids or two mailboxes of its own name that differ in more than spelling.
+    Profiles that share a contact, a person id or a mailbox pattern are joined (smallest label over
+    shared evidence and over the label's own label, repeated until nothing changes). A key stays
+    whole unless it shows two person ids or two mailboxes of its own name that differ in more than
+    spelling.
     """
-    digits = F.regexp_extract("box", r"(\d+)$", 1)
-    own = F.col("e").isNotNull() & F.col("g").isNotNull() & F.col("f").isNotNull() & _own_box(F.col("box"), F.col("g"), F.col("f"))
-    order = F.when(F.col("box").startswith(F.left("f", F.lit(4))), "f").otherwise("g")
-    sig = F.when(own, F.concat_ws("/", order, F.regexp_replace("box", "[^._-]", ""), F.when(digits != "", digits).otherwise(F.col("host"))))
-    base = prof.where(F.col("key").isNotNull()).select("pid_", "key", "e", "p", "s", "d", sig.alias("sig"))
-    count = base.groupBy("key").agg(F.count_distinct("d").alias("nd"), F.count_distinct("sig").alias("ns"))
-    many = base.join(count.where("nd > 1 or ns > 1"), "key", "left_semi")
+    base = prof.where(F.col("key").isNotNull()).select("pid_", F.concat_ws("\x1f", "scope", "key").alias("key"), "e", "p", "s", "d", F.col("pattern").alias("sig"))
+    count = base.groupBy("key").agg((F.min("d") < F.max("d")).alias("nd"), (F.min("sig") < F.max("sig")).alias("ns")).where("nd OR ns").select("key")
+    many = stable(base.join(count, "key", "left_semi"))
     node = F.explode(F.array_compact(F.array(
         F.when(F.col("sig").isNotNull(), F.concat(F.lit("s:"), F.col("sig"))), F.when(F.col("sig").isNull(), F.concat(F.lit("e:"), F.col("e"))),
         F.concat(F.lit("p:"), F.col("p")), F.concat(F.lit("l:"), F.col("s")), F.concat(F.lit("d:"), F.col("d")),
     )))
-    links = stable(many.select("pid_", "key", node.alias("node")))
-    label = stable(links.select("pid_", F.col("pid_").alias("label")).distinct())
+    links = many.select("pid_", "key", node.alias("node")).select("pid_", F.concat_ws("\x1f", "key", "node").alias("node"))
+    label = many.select("pid_", F.col("pid_").alias("label"))
     while True:
-        low = links.join(label, "pid_").groupBy("key", "node").agg(F.min("label").alias("low"))
-        new = links.join(low, ["key", "node"]).groupBy("pid_").agg(F.min("low").alias("new"))
-        step = stable(label.join(new, "pid_").select("pid_", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        low = links.join(label, "pid_").groupBy("node").agg(F.min("label").alias("low"))
+        new = links.join(low, "node").groupBy("pid_").agg(F.min("low").alias("new"))
+        far = label.join(new, "pid_", "left").select("pid_", "label", F.least("label", "new").alias("new"))
+        jump = far.select(F.col("pid_").alias("new"), F.col("new").alias("newer"))
+        step = stable(far.join(jump, "new").select("pid_", F.col("newer").alias("label"), (F.col("newer") < F.col("label")).alias("moved")))
+        label = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-        label = step.drop("moved")
     # Pieces without an identity of their own go to the key's only identified piece, if there is one.
-    piece = many.join(label, "pid_", "left").withColumn("label", F.coalesce("label", "pid_"))
-    strong = piece.where(F.col("d").isNotNull() | F.col("sig").isNotNull()).groupBy("key").agg(F.count_distinct("label").alias("k"), F.min("label").alias("only"))
-    idd = piece.groupBy("key", "label").agg(F.max(F.col("d").isNotNull() | F.col("sig").isNotNull()).alias("strong"))
-    piece = piece.join(strong, "key", "left").join(idd, ["key", "label"])
-    divided = piece.select("pid_", F.when((F.col("k") == 1) & ~F.col("strong"), F.col("only")).otherwise(F.col("label")).alias("label"))
-    return prof.where(F.col("key").isNotNull()).select("pid_", "key").join(divided, "pid_", "left").select("pid_", F.concat_ws("#", "key", F.col("label").cast("string")).alias("entity"))
+    piece = many.join(label, "pid_").withColumn("strong", F.col("d").isNotNull() | F.col("sig").isNotNull())
+    only = piece.where("strong").groupBy("key").agg(F.min("label").alias("only"), F.max("label").alias("last")).where("only = last").select("key", "only")
+    weak = piece.groupBy("key", "label").agg(F.max("strong").alias("strong")).where("NOT strong").select("key", "label").join(only, "key")
+    divided = piece.join(weak, ["key", "label"], "left").select("pid_", F.coalesce("only", "label").alias("label"))
+    return prof.where(F.col("key").isNotNull()).select("pid_", F.concat_ws("\x1f", "scope", "key").alias("key")).join(divided, "pid_", "left").select("pid_", F.concat_ws("#", "key", "label").alias("entity"))

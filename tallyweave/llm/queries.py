@@ -9,7 +9,7 @@ from ..runtime import table
 from ..text.mixture import mixture
 from ..text.passages import held_items
 from ..text.stuffed import stuffed_documents
-from .matching import match_entities
+from .matching import match_documents, match_entities
 from .names import parsed
 from .people import identify, kept_email, usable_phone
 from .survivors import survivors
@@ -65,14 +65,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants(people_records(spark, d))
 
 
+def contact_records(spark: SparkSession, d: str) -> DataFrame:
+    """``people_records`` with ``takes_part``: gifts with a person id only lend spellings and evidence."""
+    return people_records(spark, d).withColumn("takes_part", (F.col("tab") != "giving_gifts") | F.col("pid").isNull())
+
+
 def p4_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Matched records of two tables with score and confidence."""
-    rows = people_records(spark, d).withColumn("takes_part", (F.col("tab") != "giving_gifts") | F.col("pid").isNull() | (F.trim("pid") == ""))
-    return match_entities(rows)
+    """Matched documents of two tables, each named by its smallest record id, with score, confidence and records on both sides."""
+    pairs, members = match_documents(contact_records(spark, d))
+    size = members.groupBy("tab", "doc").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    side = lambda x: size.select(F.col("tab").alias(f"table_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"records_{x}"))
+    return pairs.join(side("a"), ["table_a", "doc_a"]).join(side("b"), ["table_b", "doc_b"]).select("table_a", "id_a", "records_a", "table_b", "id_b", "records_b", "score", "confidence")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_matches(spark, d).select("table_a", "id_a", "table_b", "id_b")
+    return match_entities(contact_records(spark, d)).select("table_a", "id_a", "table_b", "id_b")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

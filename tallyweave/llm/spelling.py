@@ -1,10 +1,10 @@
 """Trie join: all pairs of words within one edit, found by Levenshtein automata over tries.
 
-A word of seven letters or more that differs from another by one edit (insertion, deletion,
-substitution or a swap of neighbours) shares its first three or its last three letters with it;
-a shorter one its first or last letter. So words are sharded by those affixes, each shard is a
-trie, and each word of the shard is run over the trie as a bounded automaton. Nothing is compared
-with a word of another shard, and within a shard only the branches within the bound are walked.
+Of two words one edit apart (insertion, deletion, substitution or a swap of neighbours), the first
+``k`` or the last ``k`` letters agree, as long as both have ``2k + 1`` letters or more. So words are
+sharded by those affixes, ``k`` growing with the length of the word, each shard is a trie, and each
+word of the shard is run over the trie as a bounded automaton. Nothing is compared with a word of
+another shard, and within a shard only the branches within the bound are walked.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shard that make one trie; a larger shard is cut into several tries and its words are run over each.
 TRIE_WORDS = 20_000
-SHORTEST = 3
+#: Affix length and the word lengths it serves; neighbouring classes share a length, so a pair of lengths n and n + 1 has one.
+CLASSES = ((1, 3, 7), (3, 7, 11), (5, 11, 1 << 30))
 
 
 def _trie(words: list[str]) -> dict:
@@ -31,7 +32,7 @@ def _trie(words: list[str]) -> dict:
 
 
 def within(trie: dict, word: str, bound: int) -> list[str]:
-    """Words of the trie within ``bound`` edits (adjacent swap counts one) of ``word``."""
+    """Words of the trie within ``bound`` edits (adjacent swap counts one) of ``word``, itself included."""
     n, found = len(word), []
     first = list(range(n + 1))
     if "" in trie and first[n] <= bound:
@@ -53,28 +54,26 @@ def within(trie: dict, word: str, bound: int) -> list[str]:
 
 
 def _join_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard and block: build words come into the trie, query words are run over it."""
+    """Rows sorted by tag, shard and block: build words come into the trie, query words are run over it."""
     now, build, query = None, [], []
 
     def done() -> pd.DataFrame:
-        pairs = []
-        if len(build) and len(query):
-            side, affix = now[0][0], len(now[0]) - 2
-            cut = (lambda w: w[affix:]) if side == "<" else (lambda w: w[: len(w) - affix][::-1])
-            back: dict[str, list[str]] = {}
-            for w in build:
-                back.setdefault(cut(w), []).append(w)
-            trie = _trie(list(back))
-            for q in query:
-                pairs += [(q, w) for hit in within(trie, cut(q), 1) for w in back[hit] if q < w]
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        tag, shard, _ = now
+        affix = int(shard[1])
+        cut = (lambda w: w[affix:]) if shard[0] == "<" else (lambda w: w[: len(w) - affix][::-1])
+        back: dict[str, list[str]] = {}
+        for w in build:
+            back.setdefault(cut(w), []).append(w)
+        trie = _trie(list(back))
+        pairs = [(tag, q, w) for q in query for hit in within(trie, cut(q), 1) for w in back[hit]]
+        return pd.DataFrame(pairs, columns=["tag", "a", "b"])
 
     for pdf in parts:
-        for shard, block, role, word in zip(pdf["shard"], pdf["block"], pdf["role"], pdf["word"]):
-            if (shard, block) != now:
+        for tag, shard, block, role, word in zip(pdf["tag"], pdf["shard"], pdf["block"], pdf["role"], pdf["word"]):
+            if (tag, shard, block) != now:
                 if now is not None:
                     yield done()
-                now, build, query = (shard, block), [], []
+                now, build, query = (tag, shard, block), [], []
             if role != "q":
                 build.append(word)
             if role != "b":
@@ -84,44 +83,42 @@ def _join_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def trie_neighbours(words: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of distinct words one edit apart, from a table with a string column ``word``.
+    """``tag, a, b``: each word ``a`` with each word ``b`` of its tag within one edit, itself included.
 
-    Repeated and NULL words count once and not at all; words under three letters have no
-    neighbours. Other columns are ignored. An empty table gives no pairs.
+    ``words`` has the string columns ``tag, word``; repeated words count once and NULLs not at all,
+    other columns are ignored. Words under three letters only find themselves. Both directions of
+    a pair come out. An empty table gives no rows. A shard of more than ``TRIE_WORDS`` words is
+    built as several tries, so no task holds more.
     """
-    words = words.select("word").where(F.length("word") >= SHORTEST).distinct()
+    words = words.select("tag", "word").where(F.col("tag").isNotNull() & F.col("word").isNotNull()).distinct()
     n = F.length("word")
     shards: list[Column] = []
-    for affix, fits, tag in ((1, n <= 7, "s"), (3, n >= 7, "l")):
-        shards += [F.when(fits, F.concat(F.lit("<" + tag), F.left("word", F.lit(affix)))), F.when(fits, F.concat(F.lit(">" + tag), F.right("word", F.lit(affix))))]
-    rows = words.select("word", F.explode(F.array_compact(F.array(*shards))).alias("shard"))
-    rows = rows.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("shard")) / TRIE_WORDS).cast("int"))
+    for k, low, high in CLASSES:
+        fits = (n >= low) & (n <= high)
+        shards += [F.when(fits, F.concat(F.lit(f"<{k}"), F.left("word", F.lit(k)))), F.when(fits, F.concat(F.lit(f">{k}"), F.right("word", F.lit(k))))]
+    shards.append(F.when(n < 3, F.concat(F.lit("<0"), F.col("word"))))
+    rows = words.select("tag", "word", F.explode(F.array_compact(F.array(*shards))).alias("shard"))
+    size = rows.groupBy("tag", "shard").agg(F.ceil(F.count(F.lit(1)) / TRIE_WORDS).cast("int").alias("blocks"))
     home = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
-    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("shard", "word", home.alias("home"), "blocks", block.alias("block")).withColumn(
-        "role", F.when(F.col("blocks") == 1, "bq").when(F.col("home") == F.col("block"), "bq").otherwise("q")
-    )
-    rows = rows.select("shard", "block", "role", "word").repartition("shard", "block").sortWithinPartitions("shard", "block")
-    return rows.mapInPandas(_join_shards, "a string, b string").distinct()
+    rows = rows.join(size, ["tag", "shard"]).select("tag", "shard", "word", home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.select("tag", "shard", "block", F.when(F.col("home") == F.col("block"), "bq").otherwise("q").alias("role"), "word")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "tag", "shard", "block").sortWithinPartitions("tag", "shard", "block")
+    return rows.mapInPandas(_join_shards, "tag string, a string, b string").distinct()
 
 
-def canonical_spelling(vocab: DataFrame, ratio: float, rare: int) -> DataFrame:
-    """``word, canon``: each word's most usual spelling within one edit, itself if none is usual enough.
+def ranked_neighbours(vocab: DataFrame) -> DataFrame:
+    """``tag, a, b, na, nb``: the trie's neighbours with how often each is written (``vocab``: ``tag, word, n``)."""
+    v = vocab.where(F.col("word").isNotNull()).groupBy("tag", "word").agg(F.sum("n").alias("n"))
+    hits = trie_neighbours(v)
+    return hits.join(v.select("tag", F.col("word").alias("a"), F.col("n").alias("na")), ["tag", "a"]).join(v.select("tag", F.col("word").alias("b"), F.col("n").alias("nb")), ["tag", "b"])
 
-    ``vocab`` has ``word`` and its count ``n``. A word yields to the most frequent neighbour that
-    is at least ``ratio`` times as frequent, or, for a word seen at most ``rare`` times, to any
-    more frequent one (ties: the smaller word). Two hops, so that a misspelling of a misspelling
-    arrives too.
+
+def usual_spelling(near: DataFrame, ratio: float) -> DataFrame:
+    """``tag, word, canon, n``: of the neighbours of each word (``ranked_neighbours``) the most usual one.
+
+    A word yields to the neighbour written most often, if that is ``ratio`` times as often as the
+    word itself (ties: the smaller word), else it stays. Words the trie didn't find are not there.
     """
-    v = vocab.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
-    pairs = trie_neighbours(v)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ranked = (
-        both.join(v.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(v.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
-        .where((F.col("nb") >= ratio * F.col("na")) & (F.col("nb") > F.col("na")) | (F.col("na") <= rare) & ((F.col("nb") > F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-        .groupBy("a")
-        .agg(F.min_by("b", F.struct(-F.col("nb"), "b")).alias("b"))
-    )
-    next_hop = ranked.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    hops = ranked.join(next_hop, "b", "left").select(F.col("a").alias("word"), F.coalesce("c", "b").alias("canon"))
-    return v.select("word").join(hops, "word", "left").select("word", F.coalesce("canon", "word").alias("canon"))
+    yields = (F.col("a") == F.col("b")) | (F.col("nb") >= ratio * F.greatest(F.col("na"), F.lit(1)))
+    return near.where(yields).groupBy("tag", F.col("a").alias("word")).agg(F.max_by(F.struct("b", "nb"), F.struct("nb", F.col("a") == F.col("b"), "b")).alias("t")).select("tag", "word", F.col("t.b").alias("canon"), F.col("t.nb").alias("n"))

@@ -11,11 +11,12 @@ from .people import identify
 def name_variants(records: DataFrame) -> DataFrame:
     """Pairs ``name_a < name_b`` of different strings written for one person or organisation.
 
-    ``records`` has ``rec, name, email, phone, pid``. Tokens one edit apart come from the trie join
-    over given and family names; each name is tried in the order written and turned round, short
-    names and initials included, and contacts settle whom an initial or a bare given name stands
-    for. Stand-ins, blanks and addresses typed as names are no variants. Each string counts once
-    per key, however many rows carry it.
+    ``records`` has ``name, email, phone, pid``. Words within one edit, equal ones included, come
+    from the trie join over given and family names: a word the tries don't hand on makes no pair.
+    Both orders of a name's words are then checked against the names that are written elsewhere,
+    short names and initials included, and contacts settle whom an initial or a bare given name
+    stands for. Stand-ins, blanks and addresses typed as names are no variants. Each string counts
+    once per key, however many rows carry it.
     """
     who = identify(records).where(F.col("name").isNotNull() & F.col("key").isNotNull() & F.col("kind").isin("person", "org"))
     keyed = who.select("key", "name").distinct()
