@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from ..text.mixture import mixture
-from ..text.passages import held_items
-from ..text.stuffed import stuffed_documents
 from .matching import match_documents, match_entities
+from .mixture import mixture
 from .names import parsed
+from .passages import held_items
 from .people import identify, kept_email, usable_phone
+from .stuffed import stuffed_documents
 from .survivors import survivors
 from .variants import name_variants
 
