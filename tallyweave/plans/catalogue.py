@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, scalars
 
-_PARTS = (general,)
-QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
-ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
+_BOOKS = (scalars.book,)
+QUERIES = dict(general.QUERIES) | {k: v for b in _BOOKS for k, v in b.queries.items()}
+ORACLE = dict(general.ORACLE) | {k: v for b in _BOOKS for k, v in b.oracle.items()}

@@ -1,8 +1,9 @@
-"""Session defaults, table access and lineage cuts shared by all operators."""
+"""Session defaults, table access, shared folders and lineage cuts used by all operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) is a temporary folder used. A checkpoint survives lost executors.
+    Only a session whose executors run on this machine may leave it unset and gets a temporary
+    folder; elsewhere an unset folder is an error, since no executor would find what another wrote.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyweave-")
-        sc.setCheckpointDir(folder)
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("tallyweave.shared.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyweave-")
+        spark.conf.set("tallyweave.shared.dir", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for a written table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` by a checkpoint in the shared folder, which survives lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
