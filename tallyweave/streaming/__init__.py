@@ -1 +1 @@
-
+"""Streams: keyed upserts and clocks by micro-batch."""
