@@ -2,13 +2,15 @@
 
 Keyed state, advanced by increments::
 
-    state = empty_state(spark)
-    state = advance(state, refs=..., parents=..., gone=...)
+    state, index = empty_state(spark), empty_index(spark)
+    state, index = advance(state, index, refs=..., arrived=..., gone=..., at=...)
+    counts = standing(state)      # a snapshot, after as many increments as one likes
 
-``state`` has one row per reference: ``ref_table, record_id, target, key, ref_at, parent_at,
-status``. ``parent_at`` is the time the parent came (NULL if it has none), ``status`` is
+``state`` has one row per reference: ``ref_table, record_id, target, key, ref_at, parent_at, known,
+status, gone_at``. ``parent_at`` is the time the parent came (NULL if it has none), ``status`` is
 ``open`` (no such parent: the reference waits), ``late`` (a parent came after the reference)
-or ``ok``. The parent index is itself a table ``target, key, since``.
+or ``ok``; ``gone_at`` is when the parent of an open reference was deleted, NULL if it never had
+one. The parent index is itself a table ``target, key, since``.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE = "ref_table string, record_id string, target string, key string, ref_at timestamp_ntz, parent_at timestamp_ntz, known boolean, status string"
+STATE = "ref_table string, record_id string, target string, key string, ref_at timestamp_ntz, parent_at timestamp_ntz, known boolean, status string, gone_at timestamp_ntz"
 INDEX = "target string, key string, since timestamp_ntz"
 
 
@@ -42,7 +44,7 @@ def advance_index(index: DataFrame, arrived: DataFrame, gone: DataFrame | None =
     return index.unionByName(arrived.select("target", "key", "since")).groupBy("target", "key").agg(F.min("since").alias("since"))
 
 
-def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFrame, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFrame, gone: DataFrame | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One increment: ``(state, index)`` after new references, arriving and deleted parents.
 
     * ``refs (ref_table, record_id, target, key, ref_at)`` are new references; each probes the
@@ -50,7 +52,8 @@ def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFr
       twice, in one increment or in two, counts once, with its earliest ``ref_at``.
     * ``arrived`` parents resolve waiting orphans of their key; an earlier version of a known
       parent changes what its references are.
-    * ``gone`` parents reopen the references of their key.
+    * ``gone`` parents reopen the references of their key; ``at`` is the time that is noted for it.
+      A parent that goes and comes in one increment is there afterwards.
 
     Only references that are new, waiting, or of a touched key are probed again: the rest pass
     through. The probe is one equi-join with an index that holds each key once, so a key that
@@ -70,11 +73,16 @@ def advance(state: DataFrame, index: DataFrame, refs: DataFrame, arrived: DataFr
     marked = state.select(*cols).join(keys.distinct().withColumn("moved", F.lit(True)), ["target", "key"], "left").join(new.select(*ref).withColumn("again", F.lit(True)), ref, "left")
     hit = (F.col("status") == "open") | F.col("moved").isNotNull() | F.col("again").isNotNull()
     touched, rest = marked.where(hit), marked.where(~hit)
+    none = F.lit(None)
+    fresh = new.select(*ref, "ref_at", none.cast("boolean").alias("before"), none.cast("timestamp_ntz").alias("gone_at"))
+    old = touched.select(*ref, "ref_at", F.col("known").alias("before"), "gone_at")
+    lost = F.when(F.col("before"), F.lit(at).cast("timestamp_ntz")).otherwise(F.col("gone_at"))
     probed = (
-        new.select(*ref, "ref_at").unionByName(touched.select(*ref, "ref_at")).groupBy(*ref).agg(F.min("ref_at").alias("ref_at"))
+        fresh.unionByName(old).groupBy(*ref).agg(F.min("ref_at").alias("ref_at"), F.bool_or("before").alias("before"), F.max("gone_at").alias("gone_at"))
         .join(idx.withColumn("known", F.lit(True)), ["target", "key"], "left")
         .withColumn("known", F.coalesce(F.col("known"), F.lit(False)))
         .withColumn("status", _status(F.col("known"), F.col("since"), F.col("ref_at")))
+        .withColumn("gone_at", F.when(~F.col("known"), lost))
         .withColumnRenamed("since", "parent_at")
     )
     return rest.select(*cols).unionByName(probed.select(*cols)), idx
@@ -93,16 +101,27 @@ def problems(state: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def standing(state: DataFrame) -> DataFrame:
+    """``ref_table, refs, waiting, reopened, late``: a snapshot of the state, a row per table.
+
+    ``waiting`` references have no parent now, of which ``reopened`` lost one they had.
+    """
+    return state.groupBy("ref_table").agg(
+        F.count(F.lit(1)).alias("refs"), F.count_if(F.col("status") == "open").alias("waiting"),
+        F.count_if((F.col("status") == "open") & F.col("gone_at").isNotNull()).alias("reopened"), F.count_if(F.col("status") == "late").alias("late"),
+    )
+
+
 def snapshots(state: DataFrame, period: str = "month") -> DataFrame:
     """Per table and period: references made, orphans opened, resolved, and waiting at its end.
 
-    A reference waits from ``ref_at`` until ``parent_at``; references without a time are in the
-    period NULL. Counted by +1 and -1 per period and a running sum over few rows per table.
+    A reference waits from ``ref_at``, or from when its parent was deleted, until ``parent_at``;
+    references without a time are in the period NULL. Counted by +1 and -1 per period and a running sum over few rows per table.
     """
     at = lambda c: F.date_trunc(period, c).cast("date")
     base = state.where(F.col("status") != "ok")
     made = state.groupBy("ref_table", at(F.col("ref_at")).alias("period")).agg(F.count(F.lit(1)).alias("refs"))
-    opened = base.groupBy("ref_table", at(F.col("ref_at")).alias("period")).agg(F.count(F.lit(1)).alias("opened"))
+    opened = base.groupBy("ref_table", at(F.coalesce("gone_at", "ref_at")).alias("period")).agg(F.count(F.lit(1)).alias("opened"))
     closed = base.where(F.col("status") == "late").groupBy("ref_table", at(F.col("parent_at")).alias("period")).agg(F.count(F.lit(1)).alias("resolved"))
     long = (
         made.withColumns({"opened": F.lit(0), "resolved": F.lit(0)})
