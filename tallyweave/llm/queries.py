@@ -13,7 +13,7 @@ from .passages import held_items
 from .people import identify, kept_email, usable_phone
 from .stuffed import stuffed_documents
 from .survivors import survivors
-from .variants import name_variants
+from .variants import name_classes, name_variants
 
 
 def _records(spark: SparkSession, d: str, tab: str, rid: str, name: str, email: str, phone: str | None, pid: str | None) -> DataFrame:
@@ -41,9 +41,10 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     who = identify(rec).select(F.col("rec").alias("id"), "entity").distinct()
     trust = table(spark, d, "trusted_sources").groupBy("source").agg(F.min("trust").alias("trust"))
     rows = people.select("id", "display_name", "email", "phone", "source", "first_seen_at", "last_signal_at", "created_at").join(who, "id").join(trust, "source", "left")
-    p = parsed(F.col("display_name"))
+    # Names are taken apart once each, however many records carry them.
+    names = people.select("display_name").where("display_name is not null").distinct().withColumn("p", parsed(F.col("display_name")))
     words = F.trim(F.col("display_name")).rlike(r"\S[\s,]+\S") & ~F.col("display_name").rlike(r"[0-9@]")
-    rows = rows.withColumn("p", p)
+    rows = rows.join(names, "display_name", "left")
     name = F.when(words & (F.col("p.kind") == "person") & (F.length("p.g1") > 1) & (F.length("p.f1") > 1), F.col("display_name"))
     seen = F.col("first_seen_at")
     seen = F.when((F.to_date(seen) != F.lit("1970-01-01").cast("date")) & ~F.coalesce(seen > F.col("created_at"), F.lit(False)), seen)
@@ -61,6 +62,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_survivors(spark, d).select("group_id", "field_name", "source_id")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of names with at least two spellings: the smallest spelling and each of them."""
+    rows = name_classes(people_records(spark, d))
+    several = rows.where("name <> spelling").select("key").distinct()
+    return rows.join(several, "key", "left_semi").select("spelling", "name")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants(people_records(spark, d))
 
@@ -101,7 +109,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches,
+    "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_matches": p4_matches,
     "p6_found": p6_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found,
 }
 ORACLE: dict[str, str] = {}
