@@ -92,7 +92,7 @@ def header_block(text: Column) -> Column:
     inner = F.when(F.size(at) >= 2, F.slice(lines, F.get(at, F.lit(0)) + 2, F.get(at, F.lit(1)) - F.get(at, F.lit(0)) - 1)).otherwise(F.array().cast("array<string>"))
     pairs = F.transform(F.filter(inner, lambda x: x.contains(":")), lambda x: F.struct(F.lower(stripped(F.substring_index(x, ":", 1))).alias("key"), stripped(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
     last = F.filter(pairs, lambda p, i: F.size(F.filter(pairs, lambda q, j: (j > i) & (q["key"] == p["key"]))) == 0)
-    return F.map_from_entries(last)
+    return F.when(text.isNotNull(), F.map_from_entries(last))
 
 
 def folded_lines(lines: Column) -> Column:

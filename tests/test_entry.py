@@ -2,4 +2,9 @@ import __spark_entry__ as entry
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).count() > 0
+    df = entry.entry(spark)
+    assert df.columns == ["membership", "gives", "state", "people"] and df.count() > 0
+
+
+def test_every_twin_has_its_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
