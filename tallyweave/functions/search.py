@@ -70,21 +70,37 @@ def search(docs: DataFrame, key: str, fields: Mapping[str, str], query: str) ->
     need, ban = parsed_query(query)
     if not need:
         return docs.select(key, F.lit(0.0).alias("rank")).where("false")
-    words = {c: F.coalesce(search_words(F.col(c)), F.array().cast("array<string>")) for c in fields}
-    joined = docs.select(key, *[F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias(c) for c, w in words.items()])
-    said = lambda term: F.concat(F.lit(" "), F.array_join(F.transform(F.array(*[F.lit(w) for w in term]), stem), " "), F.lit(" "))
-    holds = lambda term: F.lit(False) if not term else _any([F.contains(F.col(c), said(term)) for c in fields])
+    # Only words that begin as a query word does are looked at; just rows that have those of a phrase are read word by word.
+    lower = docs.select(key, *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields])
+
+    def times(c: str, w: str) -> Column:
+        begins = F.regexp_extract_all(F.col(c), F.lit(rf"(?<![\p{{L}}\p{{N}}])({re.escape(_beginning(w))}[\p{{L}}\p{{N}}]*)"), 1)
+        return F.size(F.filter(begins, lambda x: stem(x) == stem(F.lit(w))))
+
+    def holds(term: tuple[str, ...]) -> Column:
+        single = _any([F.contains(F.col(c), F.lit(_beginning(term[0]))) & (times(c, term[0]) > 0) for c in fields])
+        if len(term) == 1:
+            return single
+        said = F.concat(F.lit(" "), F.array_join(F.transform(F.array(*[F.lit(w) for w in term]), stem), " "), F.lit(" "))
+        return single & _any([F.contains(F.concat(F.lit(" "), F.array_join(search_words(F.col(c)), " "), F.lit(" ")), said) for c in fields])
+
     fits = F.lit(True)
     for options in need:
         fits = fits & _any([holds(t) for t in options])
     for t in ban:
         fits = fits & ~holds(t)
-    times = lambda c, w: F.size(F.split(F.col(c), F.concat(F.lit(" "), stem(F.lit(w)), F.lit("(?= )")))) - 1
     rank = F.lit(0.0)
     for c, k in fields.items():
-        n = sum((times(c, w) for o in need for t in o for w in t), F.lit(0))
-        rank = rank + F.lit(WEIGHTS[k]) * F.log1p(n)
-    return joined.where(fits).select(key, rank.alias("rank"))
+        rank = rank + F.lit(WEIGHTS[k]) * F.log1p(sum((times(c, w) for o in need for t in o for w in t), F.lit(0)))
+    return lower.where(fits).select(key, rank.alias("rank"))
+
+
+def _beginning(w: str) -> str:
+    """What every word of the same stem begins with."""
+    w = re.sub(r"^(.{2,})ies$", r"\1", w)
+    w = re.sub(r"^(.*(?:s|x|z|ch|sh))es$|^(.+[^s])s$", lambda m: m[1] or m[2], w)
+    w = re.sub(r"^(.{3,})(?:ing|ed)$", r"\1", w)
+    return w[:-1] if len(w) > 2 and w.endswith("y") else w
 
 
 def _any(conditions: list[Column]) -> Column:

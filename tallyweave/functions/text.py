@@ -108,18 +108,18 @@ def caption_lines(text: Column) -> Column:
 
 
 def chunked(sentences: Column, most_sentences: int = 4, most_words: int = 120) -> Column:
-    """Paragraphs of consecutive sentences, closed as soon as they have so many sentences or words."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
+    """Paragraphs of consecutive sentences, closed as soon as they have so many sentences or words (parted by single spaces)."""
+    none = F.array().cast("array<string>")
+    state = lambda done, open_, n, words: F.struct(done.alias("done"), open_.alias("open"), n.alias("n"), words.alias("words"))
 
     def step(s: Column, x: Column) -> Column:
-        grown = F.concat(s["open"], F.array(x))
-        full = (F.size(grown) >= most_sentences) | (F.size(F.split(F.array_join(grown, " "), r"\s+")) >= most_words)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.array_join(grown, " ")))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(grown).alias("open"),
-        )
-
-    return F.aggregate(sentences, empty, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], " ")))).otherwise(s["done"]))
+        grown = F.concat_ws(" ", s["open"], x)
+        n, words = s["n"] + 1, s["words"] + F.size(F.split(x, " "))
+        full = (n >= most_sentences) | (words >= most_words)
+        return state(F.when(full, F.array_append(s["done"], grown)).otherwise(s["done"]), F.when(~full, grown), F.when(full, 0).otherwise(n), F.when(full, 0).otherwise(words))
+
+    start = state(none, F.lit(None).cast("string"), F.lit(0), F.lit(0))
+    return F.aggregate(sentences, start, step, lambda s: F.when(s["n"] > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
 
 
 def sentences(text: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions.text import stripped
 
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """``path, text`` of every matching file below a folder, each file whole."""
+    """``path, text`` of every matching file below a folder, each file whole; a file without a character gives no row."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\ufeff", "").alias("text"))
 
