@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stable
+from ..runtime import spread, stable
 
 #: Vocabulary of a public tokenizer, as ranks; the file must be there on every worker.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,7 +45,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             yield pdf.assign(tokens=[len(encode(t)) for t in pdf["text"]]).drop(columns="text")
 
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.lower(F.trim("source")).alias("source"), F.md5("text").alias("same"), "text")
-    return texts.mapInPandas(run, "doc_id bigint, source string, same string, tokens bigint")
+    return spread(texts).mapInPandas(run, "doc_id bigint, source string, same string, tokens bigint")
 
 
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .words import words
 
 #: A passage has this many words or more of its item, or all of them.
@@ -277,7 +278,8 @@ def held_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     ``documents (doc_id, text)`` of any size are read once, each text whole and without a shuffle;
     ``items (item_id, text)`` make the automaton and must fit a worker. Texts and items that are
-    NULL or without a word hold nothing; an item given twice counts once.
+    NULL or without a word hold nothing; an item given twice counts once, a document given twice
+    comes out twice.
     """
     eval_items = tuple(sorted({(r["item_id"], r["text"]) for r in items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).collect()}))
 
@@ -288,4 +290,4 @@ def held_items(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInPandas(run, "doc_id bigint, item_id bigint")
+    return spread(texts).mapInPandas(run, "doc_id bigint, item_id bigint")

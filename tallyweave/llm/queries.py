@@ -91,7 +91,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return held_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return held_items(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffed_documents(table(spark, d, "documents")).select("doc_id")
+    return stuffed_documents(table(spark, d, "documents")).select("doc_id").distinct()
 
 
 QUERIES = {

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .words import _TIME
 
 #: Words of a window, and the step between windows.
@@ -117,7 +118,8 @@ def _stuffed_words(rest: list[str]) -> list[bool]:
 def stuffed_documents(documents: DataFrame, share: float = 0.5) -> DataFrame:
     """``doc_id, share`` of each document of which more than ``share`` is stuffed.
 
-    ``documents (doc_id, text)``, each text read whole, one pass, no shuffle. NULL texts are none.
+    ``documents (doc_id, text)``, each text read whole, one pass, no shuffle. NULL texts are none; a
+    document given twice comes out twice.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,4 +128,4 @@ def stuffed_documents(documents: DataFrame, share: float = 0.5) -> DataFrame:
             yield out[out["share"] > share].astype({"doc_id": "int64", "share": "float64"})
 
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInPandas(run, "doc_id bigint, share double")
+    return spread(texts).mapInPandas(run, "doc_id bigint, share double")

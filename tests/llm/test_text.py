@@ -3,10 +3,13 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tallyweave.llm.mixture import fill, knapsack, mixture
 from tallyweave.llm.passages import Finder, held_items
 from tallyweave.llm.stuffed import stuffed_documents, stuffed_share
+from tallyweave.llm.words import words
 
 ITEM = (
     "When a roof fire closed the quarry shed, 24 families from Selwick gave away their prayer ribbons beside Ilvane the loom weaver. "
@@ -75,3 +78,40 @@ def test_mixture(spark):
     assert all(1 <= r["repeats"] <= most[r["source"]] for r in parts.collect())
     got = {r["source"]: r for r in shares.collect()}
     assert got["c"]["tokens"] == 0 and abs(got["a"]["actual_share"] - 0.25 / 0.9) < 0.005 and abs(got["b"]["actual_share"] - 0.65 / 0.9) < 0.005
+
+
+def test_rows_that_break_things(spark):
+    """NULL ids and texts, empty and very long texts, repeated rows, clashing columns, empty tables."""
+    long = PROSE * 400 + OTHER
+    rows = [(1, long, "a", "x"), (1, long, "a", "x"), (None, OTHER, "a", "x"), (2, None, None, None), (3, "", "a", "x"), (4, "​ \n", "A ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, item_id string").withColumn("tokens", F.lit("clash")).withColumn("share", F.lit("clash"))
+    items = spark.createDataFrame([(7, OTHER, 9), (None, ITEM, 9), (8, "", 9)], "item_id bigint, text string, doc_id int")
+    assert [tuple(r) for r in held_items(docs, items).collect()] == [(1, 7), (1, 7)]
+    assert held_items(docs, items.limit(0)).count() == 0 and held_items(docs.limit(0), items).count() == 0
+    assert stuffed_documents(docs).count() == 0 and stuffed_documents(docs.limit(0)).count() == 0
+    targets = spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, 1), ("c", 0.0, 3)], "source string, target_share double, max_repeats int")
+    parts, shares = mixture(docs, targets)
+    assert sorted((r["doc_id"], r["repeats"]) for r in parts.collect()) == [(1, 2), (4, 2)]
+    assert {r["source"]: round(r["actual_share"], 6) for r in shares.collect()} == {"a": 1.0, None: 0.0, "b": 0.0, "c": 0.0}
+    assert mixture(docs.limit(0), targets)[0].count() == 0 and mixture(docs, targets.limit(0))[1].count() == 0
+
+
+def test_pruning_loses_no_passage():
+    """The vectorised bound against the plain walk over texts stitched from pieces of items, altered here and there."""
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.sample((ITEM + " " + OTHER + " " + PROSE).split(), 40))) for k in range(12)] + [(20, ITEM), (21, OTHER)]
+    f = Finder(items)
+    texts = []
+    for _ in range(250):
+        out = []
+        for _ in range(rng.randint(1, 6)):
+            w = dict(items)[rng.choice(items)[0]].split()
+            a = rng.randrange(len(w))
+            piece = w[a : a + rng.randint(3, 30)]
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(piece))
+                piece[k : k + 1] = rng.choice([[], ["zzz"], [piece[k], "um"]]) or [piece[k]]
+            out += piece + rng.choice([[], PROSE.split()[: rng.randint(1, 9)]])
+        texts.append(" ".join(out))
+    plain = [f._streamed(words(t)) for t in texts]
+    assert f.found_in(texts) == plain and sum(map(bool, plain)) > 20
