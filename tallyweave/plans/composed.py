@@ -14,10 +14,11 @@ from ..functions.search import STOP_WORDS, search, search_index
 from ..operators.components import components
 from ..operators.relations import divided, first_of_each, month_spine, star_pairs, top
 from ..operators.rowwise import mapped_rows
+from ..operators.rules import fired, verdicts
 from ..streaming.flows import clock_state
 from .book import Book, Tables
 from .general import plain_sql
-from .grouped import _SIGNALS, gifts, last_signal
+from .grouped import _SIGNALS, gifts, last_signal, signals
 from .joined import _EMAIL, _FLAGS, _PHONE, _SERIES, evidence, flagged, j11_months_and_series
 from .kept import _CLOCK
 from .scalars import NOW_AT, TIERS, _LADDER, living, recency_step
@@ -239,3 +240,50 @@ def m10_opaque_rows(t: Tables):
 @query("select campaign_id, cast(null as varchar) as advice from meta_ad_insights group by 1")
 def m10_no_model(t: Tables):
     return mapped_rows(t.meta_ad_insights.groupBy("campaign_id").agg(F.first("campaign_name").alias("name")), "campaign_id", "name", "advice string")
+
+
+#: A set of rules to show the engine with: code, signal, threshold, window in days, rank, enabled.
+RULES = [("G10", "gift", 10, 730, 3, True), ("G1", "gift", None, None, 0, True), ("C1", "group", None, None, 2, True), ("S2", "serving", 1, 365, 3, True), ("R1", "registration", 1, 90, 1, True), ("OFF", "gift", 1, None, 4, False)]
+_RULES = "rules as (select * from (values " + ", ".join(f"('{c}', '{s}', {'null' if t is None else t}, {'null' if w is None else w}, {r}, {str(e).lower()})" for c, s, t, w, r, e in RULES) + ") r(code, signal, threshold, window_days, rank, enabled))"
+_FIRED = f"""{_RULES}, e as (select p who, source signal, seen from ({_SIGNALS}) where p is not null and seen is not null),
+ hits as (select who, code, rank, count(*) n from e join rules using (signal) where enabled and (window_days is null or cast(seen as date) > date '2026-01-01' - cast(window_days as integer)) group by who, code, rank, threshold having count(*) >= coalesce(threshold, 1))"""
+
+
+def rule_hits(t: Tables, rules: list = RULES) -> DataFrame:
+    table = t.spark.createDataFrame(rules, "code string, signal string, threshold int, window_days int, rank int, enabled boolean")
+    return fired(table, signals(t).select(F.col("person").alias("who"), F.col("source").alias("signal"), "at"), F.expr(NOW_AT))
+
+
+@query(f"with {_FIRED} select who, code, cast(n as bigint) as n from hits")
+def c8_rules_fired(t: Tables):
+    return rule_hits(t).select("who", "code", "n")
+
+
+@query(f"with {_FIRED} select who, cast(max(rank) as integer) as rank, string_agg(code, ',' order by code) as reasons from hits group by 1")
+def c8_verdicts(t: Tables):
+    return verdicts(rule_hits(t)).select("who", "rank", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"with {_FIRED} select code, cast(count(*) as bigint) as people from hits group by 1")
+def c8_preview(t: Tables):
+    """What if: how many people each rule would meet, without a verdict written."""
+    return rule_hits(t).groupBy("code").agg(F.count(F.lit(1)).alias("people"))
+
+
+@query(f"""with {_FIRED}, v as (select who, max(rank) rank from hits group by 1) select p.id, cast(case when p.pinned_by is not null then {_RANK.replace('tier', 'p.tier')} else greatest({_RANK.replace('tier', 'p.tier')}, coalesce(v.rank, 0)) end as integer) as rank,
+ case when p.state = 'archived' then 'archived' else {_CLOCK.replace('seen', 'p.last_signal_at')} end as state from pursuit_people p left join v on v.who = {plain_sql('p.pco_person_id')}""")
+def c2_written(t: Tables):
+    """Stored people after a run: a pin holds, a rank never falls, an archived one stays so."""
+    ranks = verdicts(rule_hits(t)).select(F.col("who").alias("k"), F.col("rank").alias("earned"))
+    people = t.pursuit_people.withColumns({"k": plain_id(F.col("pco_person_id")), "held": text.ranked(F.col("tier"), TIERS)}).join(ranks, "k", "left")
+    rank = F.when(F.col("pinned_by").isNotNull(), F.col("held")).otherwise(F.greatest("held", F.coalesce("earned", F.lit(0))))
+    return people.select("id", rank.alias("rank"), F.when(F.col("state") == "archived", "archived").otherwise(clock_state(F.col("last_signal_at"), F.expr(NOW_AT))).alias("state"))
+
+
+@query(f"""with m as ({_SERIES}), h as (select {_LADDER} step, count(*) n from pursuit_people where not coalesce(deceased, false) and state <> 'archived' group by 1)
+ select '{{"months":[' || (select string_agg('{{"month":"' || strftime(month, '%Y-%m') || '","gifts":' || gifts || ',"leads":' || leads || '}}', ',' order by month) from m) || '],"steps":[' || (select string_agg('[' || step || ',' || n || ']', ',' order by step) from h) || ']}}' as doc""")
+def c3_document(t: Tables):
+    """Series and histogram in one JSON document; its lists are as long as the calendar, not the tables."""
+    months = j11_months_and_series(t).agg(F.array_sort(F.collect_list(F.struct(times.month_text(F.col("month")).alias("month"), "gifts", "leads"))).alias("months"))
+    steps = living(t).groupBy(recency_step(F.col("last_signal_at")).alias("step")).agg(F.count(F.lit(1)).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "n"))), lambda s: F.array(s["step"].cast("bigint"), s["n"])).alias("steps"))
+    return months.join(steps).select(F.to_json(F.struct("months", "steps")).alias("doc"))
