@@ -120,9 +120,9 @@ def arg_by_sum(df: DataFrame, keys: Sequence[str], category: str, weight: str) -
 
 
 def with_share(df: DataFrame, value: str, share: str = "share") -> DataFrame:
-    """``df`` with each row's share of the sum over all rows; 0 of nothing. The sum is one row, so nothing is gathered."""
-    whole = df.agg(F.sum(value).alias("__whole"))
-    return df.join(F.broadcast(whole)).withColumn(share, F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("__whole").cast("double")), F.lit(0.0))).drop("__whole")
+    """``df`` with each row's share of the sum over all rows; 0 of nothing. The sum is a scalar subquery, so nothing is gathered or joined."""
+    whole = df.agg(F.sum(value)).scalar()
+    return df.withColumn(share, F.coalesce(F.try_divide(F.col(value).cast("double"), whole.cast("double")), F.lit(0.0)))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -196,8 +196,8 @@ def c3_points(t: Tables):
 def c4_course_progress(t: Tables):
     recent = F.col("ts") >= F.expr("timestamp_ntz'2024-01-20'")
     by = t.events.groupBy("user_id").agg(F.count_distinct(F.when(recent, F.col("event_type"))).alias("done"), F.max("ts").alias("seen"))
-    need = t.events.agg(F.count_distinct("event_type").alias("n"))
-    return by.join(F.broadcast(need)).select("user_id", "done", (F.col("done") == F.col("n")).alias("complete"), times.days_since(F.col("seen"), F.expr("timestamp_ntz'2024-02-01'")).alias("quiet"))
+    need = t.events.agg(F.count_distinct("event_type")).scalar()
+    return by.select("user_id", "done", (F.col("done") == need).alias("complete"), times.days_since(F.col("seen"), F.expr("timestamp_ntz'2024-02-01'")).alias("quiet"))
 
 
 @query(f"""with g as (select coalesce({_GIVER}, nullif(lower(donor_email), '')) k, amount_cents, received_at from giving_gifts where received_at is not null), f as (select k, min(received_at) first_at from g where k is not null group by 1)
@@ -286,4 +286,4 @@ def c3_document(t: Tables):
     """Series and histogram in one JSON document; its lists are as long as the calendar, not the tables."""
     months = j11_months_and_series(t).agg(F.array_sort(F.collect_list(F.struct(times.month_text(F.col("month")).alias("month"), "gifts", "leads"))).alias("months"))
     steps = living(t).groupBy(recency_step(F.col("last_signal_at")).alias("step")).agg(F.count(F.lit(1)).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "n"))), lambda s: F.array(s["step"].cast("bigint"), s["n"])).alias("steps"))
-    return months.join(steps).select(F.to_json(F.struct("months", "steps")).alias("doc"))
+    return t.spark.range(1).select(F.to_json(F.struct(months.scalar().alias("months"), steps.scalar().alias("steps"))).alias("doc"))

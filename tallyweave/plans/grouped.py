@@ -198,11 +198,9 @@ def a27_ordered_json(t: Tables):
 
 @query(f"""select '{{"people":' || (select count(*) from pursuit_people) || ',"gifts":' || (select count(*) from giving_gifts) || ',"givers":' || (select count(distinct {_GIVER}) from giving_gifts) || ',"leads":' || (select count(*) from meta_leads) || '}}' as doc""")
 def a28_document(t: Tables):
-    one = lambda df, c, name: df.agg(c.alias(name))
     n = F.count(F.lit(1))
-    # Four tables of one row each: the joins put four numbers beside each other.
-    row = one(t.pursuit_people, n, "people").join(one(t.giving_gifts, n, "gifts")).join(one(gifts(t), F.count_distinct("giver"), "givers")).join(one(t.meta_leads, n, "leads"))
-    return row.select(F.to_json(F.struct("people", "gifts", "givers", "leads")).alias("doc"))
+    numbers = {"people": t.pursuit_people.agg(n), "gifts": t.giving_gifts.agg(n), "givers": gifts(t).agg(F.count_distinct("giver")), "leads": t.meta_leads.agg(n)}
+    return t.spark.range(1).select(F.to_json(F.struct(*[df.scalar().alias(k) for k, df in numbers.items()])).alias("doc"))
 
 
 @query("select group_id, array_to_string(list_sort(list_distinct(list(lower(role)) filter (where role is not null))), ',') as roles from pco_group_memberships group by 1")
@@ -230,8 +228,8 @@ def w1_first_per_key(t: Tables):
 
 @query("select ad_id, cast(spend as double) as spend from meta_ad_insights where day = (select max(day) from meta_ad_insights)")
 def w2_latest_run(t: Tables):
-    last = t.meta_ad_insights.agg(F.max("day").alias("day"))
-    return t.meta_ad_insights.join(F.broadcast(last), "day", "left_semi").select("ad_id", money(F.col("spend")).alias("spend"))
+    last = t.meta_ad_insights.agg(F.max("day")).scalar()
+    return t.meta_ad_insights.where(F.col("day") == last).select("ad_id", money(F.col("spend")).alias("spend"))
 
 
 @query(f"select giver, last_at from (select {_GIVER} giver, max(received_at) last_at from giving_gifts where {_GIVER} is not null group by 1 having count(donor_email) = 0 and max(received_at) is not null) order by last_at desc, giver limit 350")

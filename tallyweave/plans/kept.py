@@ -252,8 +252,8 @@ def m2_late_revisions(t: Tables):
 
 @query("select cast(count(*) as bigint) as n, max(created_at) as mark from giving_gifts where created_at > (select max(created_at) from giving_gifts where created_at <= timestamp '2025-06-30')")
 def m3_high_water_mark(t: Tables):
-    mark = t.giving_gifts.where("created_at <= timestamp_ntz'2025-06-30'").agg(F.max("created_at").alias("mark"))
-    later = t.giving_gifts.select("created_at").join(F.broadcast(mark), F.col("created_at") > F.col("mark"))
+    mark = t.giving_gifts.where("created_at <= timestamp_ntz'2025-06-30'").agg(F.max("created_at")).scalar()
+    later = t.giving_gifts.where(F.col("created_at") > mark)
     return later.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("mark"))
 
 
