@@ -16,6 +16,8 @@ different names; within one name key contacts, person ids and mailbox patterns t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,11 +221,13 @@ def _told(prof: DataFrame) -> DataFrame:
     return first.where("t.k = t.k2").select("pid_", F.col("t.k.g").alias("kg"), F.col("t.k.f").alias("kf"))
 
 
-def identify(records: DataFrame, within: str | None = None) -> DataFrame:
+def identify(records: DataFrame, within: str | None = None, one_phone: bool = False) -> DataFrame:
     """See the module. ``records`` keeps its columns; clashing names of the result are replaced.
 
     ``within`` names a column (a table, say): spellings and evidence are read over all records, but
-    entities are then formed in each of its values alone and shared by none.
+    entities are then formed in each of its values alone and shared by none. With ``one_phone`` two
+    phones of one name mean two people, unless an address or an id joins them; else people may have
+    several.
     NULLs in any column, repeated rows and empty tables are allowed. A record with neither name nor
     contact nor person id gets ``entity`` NULL.
     """
@@ -262,26 +266,29 @@ def identify(records: DataFrame, within: str | None = None) -> DataFrame:
     lone = F.coalesce(F.concat(F.lit("@"), F.coalesce("d", "e")), F.concat(F.lit("@"), F.coalesce("p", "s"), F.lit("|"), F.coalesce("gi", F.lit("")), F.coalesce("fi", F.lit(""))), F.when(F.col("kind").isin("person", "org") & F.col("g").isNotNull(), F.concat(F.lit("?"), F.col("name"))))
     prof = stable(prof.withColumn("key", F.when(known, F.concat_ws("|", "given", "family")).otherwise(lone)).select("pid_", "scope", "given", "family", "key", "e", "p", "s", "d", _pattern(F.col("given"), F.col("family")).alias("pattern"), "kind"))
     out = ("given", "family", "key", "entity", "e", "p", "s", "d", "pattern", "kind")
-    keyed = prof.join(_namesakes(prof), "pid_", "left").select("pid_", *out)
+    keyed = prof.join(_namesakes(prof, ("d", "sig", "s") if one_phone else ("d", "sig")), "pid_", "left").select("pid_", *out)
     return records.drop(*out).withColumn("pid_", _profile_id(scope)).join(keyed, "pid_").drop("pid_")
 
 
-def _namesakes(prof: DataFrame) -> DataFrame:
+def _namesakes(prof: DataFrame, tell: tuple[str, ...]) -> DataFrame:
     """``pid_, entity``: profiles of one key (and scope), divided where its records are of several people.
 
-    Profiles that share a contact, a person id or a mailbox pattern are joined (smallest label over
-    shared evidence and over the label's own label, repeated until nothing changes). A key stays
-    whole unless it shows two person ids or two mailboxes of its own name that differ in more than
-    spelling.
+    Profiles that share a contact, a person id, a mailbox pattern, or a phone or mailbox but for one
+    letter, are joined (smallest label over shared evidence and over the label's own label, repeated
+    until nothing changes). A key stays whole unless two of the pieces have one of the columns
+    ``tell`` each: a person id, a mailbox of its own name, a phone.
     """
-    base = prof.where(F.col("key").isNotNull()).select("pid_", F.concat_ws("\x1f", "scope", "key").alias("key"), "e", "p", "s", "d", F.col("pattern").alias("sig"))
-    count = base.groupBy("key").agg((F.min("d") < F.max("d")).alias("nd"), (F.min("sig") < F.max("sig")).alias("ns")).where("nd OR ns").select("key")
+    base = prof.where(F.col("key").isNotNull()).select("pid_", F.concat_ws("\x1f", "scope", "key").alias("key"), "e", "p", "s", "d", F.col("pattern").alias("sig"), F.substring_index("e", "@", 1).alias("box"))
+    two = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
+    count = base.groupBy("key").agg(reduce(Column.__or__, map(two, tell)).alias("two")).where("two").select("key")
     many = stable(base.join(count, "key", "left_semi"))
-    node = F.explode(F.array_compact(F.array(
-        F.when(F.col("sig").isNotNull(), F.concat(F.lit("s:"), F.col("sig"))), F.when(F.col("sig").isNull(), F.concat(F.lit("e:"), F.col("e"))),
-        F.concat(F.lit("p:"), F.col("p")), F.concat(F.lit("l:"), F.col("s")), F.concat(F.lit("d:"), F.col("d")),
-    )))
-    links = many.select("pid_", "key", node.alias("node")).select("pid_", F.concat_ws("\x1f", "key", "node").alias("node"))
+    tag = lambda t, c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(t), F.col(c))))
+    # One letter more, less, other or swapped: two such strings meet in what is left without a letter.
+    less = lambda t, c: F.when(F.length(c) > 3, F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.lit(t), F.left(F.col(c), i - 1), F.substr(F.col(c), i + 1))))
+    node = F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(
+        tag("s:", "sig"), F.when(F.col("sig").isNull(), F.array(F.concat(F.lit("e:"), F.col("e")))), tag("p:", "p"), tag("l:", "s"), tag("d:", "d"), less("l:", "s"), tag("b:", "box"), less("b:", "box"),
+    )))))
+    links = stable(many.select("pid_", "key", node.alias("node")).where("node is not null").select("pid_", F.concat_ws("\x1f", "key", "node").alias("node")))
     label = many.select("pid_", F.col("pid_").alias("label"))
     while True:
         low = links.join(label, "pid_").groupBy("node").agg(F.min("label").alias("low"))
@@ -292,9 +299,12 @@ def _namesakes(prof: DataFrame) -> DataFrame:
         label = step.drop("moved")
         if step.where("moved").isEmpty():
             break
-    # Pieces without an identity of their own go to the key's only identified piece, if there is one.
-    piece = many.join(label, "pid_").withColumn("strong", F.col("d").isNotNull() | F.col("sig").isNotNull())
-    only = piece.where("strong").groupBy("key").agg(F.min("label").alias("only"), F.max("label").alias("last")).where("only = last").select("key", "only")
-    weak = piece.groupBy("key", "label").agg(F.max("strong").alias("strong")).where("NOT strong").select("key", "label").join(only, "key")
-    divided = piece.join(weak, ["key", "label"], "left").select("pid_", F.coalesce("only", "label").alias("label"))
+    # Of a key whose pieces don't conflict all are one. Else pieces without an identity of their own go to the only one that has one.
+    piece = stable(many.join(label, "pid_").select("pid_", "key", "label", *[F.col(c).isNotNull().alias(c) for c in tell]))
+    named = reduce(Column.__or__, map(F.col, tell))
+    each = piece.groupBy("key", "label").agg(*[F.max(c).alias(c) for c in tell])
+    whole = each.groupBy("key").agg(F.greatest(*[F.count_if(c) for c in tell]).alias("most"), F.min("label").alias("least"), *[f(F.when(named, F.col("label"))).alias(n) for n, f in (("only", F.min), ("last", F.max))])
+    to = F.when(F.col("most") <= 1, F.col("least")).when(~named & (F.col("only") == F.col("last")), F.col("only")).otherwise(F.col("label"))
+    goes = each.join(whole, "key").select("key", "label", to.alias("to"))
+    divided = piece.join(goes, ["key", "label"]).select("pid_", F.col("to").alias("label"))
     return prof.where(F.col("key").isNotNull()).select("pid_", F.concat_ws("\x1f", "scope", "key").alias("key")).join(divided, "pid_", "left").select("pid_", F.concat_ws("#", "key", "label").alias("entity"))
