@@ -50,9 +50,9 @@ def s3_offset_pages(t: Tables):
 
 @query("select g.group_name, cast(count(*) as bigint) as n from (select membership_id, group_id from pco_group_memberships) m join (select group_id, min(group_name) group_name from pco_group_memberships where group_name is not null group by 1) g using (group_id) group by 1")
 def s4_pages_with_side_table(t: Tables):
-    # Pages as they land: the memberships, and beside them each page's own copy of the groups they name.
+    # Pages as they land, of some 500 memberships each, and beside them each page's own copy of the groups they name.
     m = t.pco_group_memberships
-    pages = m.groupBy(F.pmod(F.xxhash64("membership_id"), F.lit(64)).alias("page")).agg(
+    pages = m.groupBy(F.pmod(F.xxhash64("membership_id", "synced_at"), F.lit(max(1, m.count() // 500))).alias("page")).agg(
         F.collect_list(F.struct("membership_id", "group_id")).alias("data"), F.collect_set(F.when(F.col("group_name").isNotNull(), F.struct("group_id", "group_name"))).alias("included"))
     data, side = page_tables(pages)
     return data.join(side.groupBy("group_id").agg(F.min("group_name").alias("group_name")), "group_id").groupBy("group_name").agg(F.count(F.lit(1)).alias("n"))
