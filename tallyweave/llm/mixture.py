@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,22 +52,28 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many of each size to take, at most as many as there are, so that their sum is the largest up to ``budget``.
 
-    Dynamic programming over reachable sums, held as the bits of one number; counts are split into
-    powers of two. It ends as soon as the budget itself is reached.
+    Dynamic programming over reachable sums; counts are split into powers of two, and each sum
+    remembers the part that reached it first, which is all it takes to go back. It ends as soon as
+    the budget itself is reached.
     """
-    reach, steps, mask = 1, [], (1 << (budget + 1)) - 1
+    first = np.full(budget + 1, -1, dtype=np.int32)
+    first[0] = 0
+    parts: list[tuple[int, int]] = [(0, 0)]
     for size in sorted(counts, reverse=True):
         left, part = counts[size], 1
-        while left > 0 and not reach >> budget & 1:
+        while left > 0 and first[budget] < 0:
             part = min(part, left)
-            steps.append((size, part, reach))
-            reach |= (reach << size * part) & mask
+            step = size * part
+            if step <= budget:
+                new = (first[: budget + 1 - step] >= 0) & (first[step:] < 0)
+                first[step:][new] = len(parts)
+                parts.append((size, part))
             left, part = left - part, part * 2
-    at, out = reach.bit_length() - 1, defaultdict(int)
-    for size, part, before in reversed(steps):
-        if not before >> at & 1:
-            out[size] += part
-            at -= size * part
+    at, out = int(np.flatnonzero(first >= 0)[-1]), defaultdict(int)
+    while at:
+        size, part = parts[first[at]]
+        out[size] += part
+        at -= size * part
     return dict(out)
 
 
