@@ -53,6 +53,42 @@ def within(trie: dict, word: str, bound: int) -> list[str]:
     return found
 
 
+def within_one(trie: dict, word: str) -> set[str]:
+    """``within`` a bound of one, with the automaton's states spelled out: before the edit, and after it.
+
+    Before the edit there is one path, the word's own; from each of its nodes every edit leads to a
+    node after it, from where the rest of the word must follow letter by letter.
+    """
+    found: set[str] = set()
+    n = len(word)
+
+    def rest(node: dict, i: int) -> None:
+        for ch in word[i:]:
+            node = node.get(ch)
+            if node is None:
+                return
+        if "" in node:
+            found.add(node[""])
+
+    node = trie
+    for i in range(n + 1):
+        for ch, child in node.items():
+            if ch:
+                rest(child, i)
+                if i < n:
+                    rest(child, i + 1)
+        if i == n:
+            rest(node, i)
+            break
+        rest(node, i + 1)
+        if i + 1 < n and word[i + 1] in node and word[i] in node[word[i + 1]]:
+            rest(node[word[i + 1]][word[i]], i + 2)
+        node = node.get(word[i])
+        if node is None:
+            break
+    return found
+
+
 def _join_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by tag, shard and block: build words come into the trie, query words are run over it."""
     now, build, query = None, [], []
@@ -65,7 +101,7 @@ def _join_shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w in build:
             back.setdefault(cut(w), []).append(w)
         trie = _trie(list(back))
-        pairs = [(tag, q, w) for q in query for hit in within(trie, cut(q), 1) for w in back[hit]]
+        pairs = [(tag, q, w) for q in query for hit in within_one(trie, cut(q)) for w in back[hit]]
         return pd.DataFrame(pairs, columns=["tag", "a", "b"])
 
     for pdf in parts:

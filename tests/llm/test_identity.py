@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.matching import K1, LEAST, B, fit_logistic, match_entities, mutual_nearest, retrieve
 from tallyweave.llm.names import parse_name
 from tallyweave.llm.people import identify, kept_email, usable_email, usable_phone
-from tallyweave.llm.spelling import _trie, trie_neighbours, usual_spelling, within
+from tallyweave.llm.spelling import _trie, trie_neighbours, usual_spelling, within, within_one
 from tallyweave.llm.survivors import survivors
 from tallyweave.llm.variants import name_classes, name_variants
 
@@ -42,6 +42,8 @@ def test_within_against_all_words():
     for bound in (0, 1, 2):
         for q in words[::9]:
             assert sorted(within(trie, q, bound)) == sorted(w for w in words if edits(q, w) <= bound)
+    assert all(sorted(within_one(trie, q)) == sorted(within(trie, q, 1)) for q in [*words, "", "z", "abcabcabcabcabcabc"])
+    assert within_one({}, "a") == set() and within_one(_trie([""]), "a") == {""} and within_one(_trie(["a"]), "") == {"a"}
 
 
 def test_trie_join_against_all_pairs(spark, monkeypatch):
