@@ -12,14 +12,14 @@ from ..functions import nested, text, times
 from ..functions.ids import plain_id
 from ..functions.search import STOP_WORDS, search, search_index
 from ..operators.components import components
-from ..operators.relations import divided, first_of_each, month_spine, star_pairs, top
+from ..operators.relations import first_of_each, star_pairs, top
 from ..operators.rowwise import mapped_rows
 from ..operators.rules import fired, verdicts
 from ..streaming.flows import clock_state
 from .book import Book, Tables
 from .general import plain_sql
 from .grouped import _SIGNALS, gifts, last_signal, signals
-from .joined import _EMAIL, _FLAGS, _PHONE, _SERIES, evidence, flagged, j11_months_and_series
+from .joined import _EMAIL, _SERIES, evidence, j11_months_and_series
 from .kept import _CLOCK
 from .scalars import NOW_AT, TIERS, _LADDER, living, recency_step
 
