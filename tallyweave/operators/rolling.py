@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def daily_totals(df: DataFrame, entity: str, day: str, value: str) -> DataFrame:
@@ -53,13 +54,15 @@ def trailing_totals(
                by P. Before an entity's first day there is nothing, which counts as 0.
 
     Steps: aggregate per entity and day; densify by the entity's calendar; window sums over a
-    fixed number of preceding rows. One shuffle by (entity, day), one by entity. The window
+    fixed number of preceding rows, for exact numbers as differences of one running sum. One shuffle by (entity, day), one by entity. The window
     holds at most one row per day and entity, however many facts an entity has.
     """
     dense = densify_days(daily_totals(df, entity, day, value))
     w = Window.partitionBy("entity").orderBy("day")
-    out = dense
-    for p in periods:
-        frame = w.rowsBetween(-(p - 1), 0)
-        out = out.withColumn(f"total_{p}", F.sum("total").over(frame))
+    if isinstance(dense.schema["total"].dataType, (FloatType, DoubleType)):
+        out = dense.withColumns({f"total_{p}": F.sum("total").over(w.rowsBetween(-(p - 1), 0)) for p in periods})
+    else:
+        # Exact numbers: the sum of the P rows up to here is the running sum less what it was P rows before, whatever P.
+        run = dense.withColumn("__run", F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        out = run.withColumns({f"total_{p}": F.col("__run") - F.coalesce(F.lag("__run", p).over(w), F.lit(0)) for p in periods}).drop("__run")
     return out.select("*", *[F.try_divide(F.col(f"total_{p}").cast("double"), F.lit(p)).alias(f"avg_{p}") for p in periods])
