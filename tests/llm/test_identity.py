@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm.matching import K1, LEAST, B, fit_logistic, match_entities, mutual_nearest, retrieve
+from tallyweave.llm.matching import K1, LEAST, WHOLE, B, _two_edits, contradicted, fit_logistic, match_entities, mutual_nearest, retrieve
 from tallyweave.llm.names import parse_name
 from tallyweave.llm.people import identify, kept_email, usable_email, usable_phone
 from tallyweave.llm.spelling import _trie, trie_neighbours, usual_spelling, within, within_one
@@ -191,3 +191,61 @@ def test_matching_edges(spark):
     got = {(r["id_a"], r["id_b"]) for r in match_entities(spark.createDataFrame(rows, cols)).collect()}
     assert got == {(f"g{i}", f"m{i}") for i in range(8)}
     assert match_entities(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_strings_two_edits_apart_meet(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in [*range(9), *range(WHOLE - 3, WHOLE + 4), 80]:
+        for _ in range(12):
+            a = "".join(rng.choice("abé") for _ in range(n))
+            b = a
+            for _ in range(2):
+                k = rng.randrange(len(b) + 1)
+                b = rng.choice([b[:k] + "c" + b[k:], b[:k] + b[k + 1 :], b[:k] + "d" + b[k + 1 :]])
+            rows.append((a, b))
+    met = spark.createDataFrame(rows, "a string, b string").withColumn("met", F.arrays_overlap(_two_edits(F.col("a")), _two_edits(F.col("b"))))
+    assert met.where("levenshtein(a, b) <= 2 AND NOT met").count() == 0
+    assert met.where("levenshtein(a, b) <= 2").count() == len(rows)
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_contradicted_against_all_values(spark):
+    rng = random.Random(11)
+    pools = {"pattern": ["g/./mail", "f/_/7", "g//9", "f/-/1"], "box": ["ana.lind", "ana.lint", "lind_ana7", "bo" * 20, "bo" * 20 + "x", "q1", "zzz99"], "local": ["1435967", "1435976", "5550101", "9998887"]}
+    docs = {(t, f"d{i}"): {k: {v for v in pool if rng.random() < 0.25} for k, pool in pools.items()} for t in "ab" for i in range(16)}
+    docs["a", "d0"]["box"] = {f"first{i}" for i in range(120)}
+    docs["b", "d0"]["box"] = {f"other-{i}" for i in range(150)}
+    docs["b", "d1"]["box"] = {f"other-{i}" for i in range(150)} | {"first5@"}
+    marks = [(t, d, k, v) for (t, d), kinds in docs.items() for k, vs in kinds.items() for v in [*vs, None]] * 2
+    pairs = [("a", x, "b", y) for (t, x), (u, y) in itertools.product(docs, docs) if (t, u) == ("a", "b")]
+
+    def apart(x, y):
+        both = lambda k: x[k] and y[k]
+        near = lambda k: any(lev(a, b) <= 2 for a in x[k] for b in y[k])
+        mailboxes = both("pattern") and not x["pattern"] & y["pattern"] and not near("box") and not x["local"] & y["local"]
+        return bool(mailboxes or both("local") and not near("local") and both("box") and not near("box"))
+
+    want = {p for p in pairs if apart(docs[p[:2]], docs[p[2:]])}
+    got = {tuple(r) for r in contradicted(spark.createDataFrame(pairs, "tab_x string, x string, tab_y string, y string"), spark.createDataFrame(marks, "tab string, doc string, kind string, v string")).collect()}
+    assert got == want and 20 < len(want) < len(pairs) - 20
+
+
+def test_many_addresses_are_checked(spark):
+    """Twenty people of one table answer the same 120 mailboxes and numbers; two more are in another table under a name of theirs."""
+    cols = "tab string, id string, name string, email string, phone string, pid string, takes_part boolean"
+    many = [("Martha", "Solander"), ("Otto", "Brixelway"), *[(f"{chr(97 + i) * 3}ulian", f"{chr(122 - i) * 3}etterick") for i in range(18)]]
+    rows = [("ghl_opportunities", f"g{i}-{j}", f"{g} {f}", f"desk{j * 7919:06d}x@mail.example", f"{4000000 + j * 10007}", None, True) for i, (g, f) in enumerate(many) for j in range(60)]
+    rows += [("ghl_opportunities", f"g{i}-own", f"{g} {f}", f"{g}.{f}@mail.example".lower(), None, None, True) for i, (g, f) in enumerate(many)]
+    rows += [("meta_leads", "m0", "Martha Solander", "solander_martha77@post.example", None, None, True), ("meta_leads", "m1", "Otto Brixelway", "otto.brixelway@mail.example", None, None, True)]
+    got = {(r["id_a"], r["id_b"]) for r in match_entities(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {(f"g1-{j}", "m1") for j in [*range(60), "own"]}
